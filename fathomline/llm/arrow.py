@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.shipping import ship
+
 #: Text bytes handled at once in a Python worker; longer single texts make a chunk of their own.
 CHUNK_BYTES = 4 << 20
 
@@ -39,6 +41,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
     of ``schema`` beyond the keys. With ``setup`` the callable is made once per task.
     Input columns with other names never reach Python.
     """
+    ship(df.sparkSession)
     names = [f"_k{i}" for i in range(len(keys))]
     source = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], F.col(f"`{text}`").cast("string").alias("_t"))
     key_types = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fathomline.llm.bpe import decode_documents, encode_documents
+from fathomline.llm.langid import predict_languages
+from fathomline.llm.ogg import read_ogg, text_to_ogg
 from fathomline.llm.simhash import simhash_groups
 
 
@@ -13,11 +18,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digests = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = decode_documents(digests, ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = text_to_ogg(_table(spark, sf_dir, "documents"))
+    known = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    feature = F.format_string("streams=%d pages=%d packets=%d cues=%d seconds=%.6f mean=%.6f deviation=%.6f crossings=%d", "streams", "pages", "packets", "cues", "seconds", "mean", "deviation", "crossings")
+    return read_ogg(known).select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_ogg_media": op6_ogg_media,
+    "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
