@@ -12,12 +12,17 @@ from fathomline.llm.bpe import decode_documents, encode_documents
 from fathomline.llm.langid import predict_languages
 from fathomline.llm.ogg import read_ogg, text_to_ogg
 from fathomline.llm.simhash import simhash_groups
+from fathomline.llm.urls import judge_urls, judge_urls_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -42,9 +47,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_trust": op1_url_trust,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_ogg_media": op6_ogg_media,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_trust": judge_urls_sql(),
+}
