@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.bpe import decode_documents, encode_documents
 from fathomline.llm.langid import predict_languages
 from fathomline.llm.ogg import read_ogg, text_to_ogg
+from fathomline.llm.quality import score_quality
 from fathomline.llm.simhash import simhash_groups
 from fathomline.llm.urls import judge_urls, judge_urls_sql
 
@@ -46,12 +47,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_ogg_media": op6_ogg_media,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op1_url_trust": judge_urls_sql(),

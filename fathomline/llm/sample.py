@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.arrow import text_chunks
+from fathomline.shipping import ship
+
 _SPAN = 1 << 30
 
 
@@ -27,3 +36,42 @@ def hash_sample(ids: DataFrame, key: str, by: str, per_value: int) -> DataFrame:
         if value is not None:
             keep |= (F.col(f"`{by}`") == F.lit(value)) & (spread < F.lit(int(_SPAN * min(1.0, per_value / n))))
     return ids.where(keep)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, modulus: int, held_out: int, per_class: int) -> DataFrame:
+    """``(text, label, weight)`` of about ``per_class`` labelled rows of each class.
+
+    Rows of the held-out remainder and rows without text or label teach nothing.
+    ``weight`` restores the share of the classes. The chosen ids are at most a few
+    thousand, so they are broadcast; the rows are limited to twice the bound.
+    """
+    known = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull() & (crc_rest(doc_id, modulus) != held_out)).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
+    picked = hash_sample(known, "id", "label", per_class).limit(4 * per_class).dropDuplicates(["id"])
+    texts = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    weight = F.lit(1.0)
+    for value, n in totals.items():
+        weight = F.when(F.col("label") == value, F.lit(max(1.0, n / per_class))).otherwise(weight)
+    return texts.join(F.broadcast(picked), "id").select("text", "label", weight.alias("weight")).limit(4 * per_class)
+
+
+def fit_in_one_task(rows: DataFrame, fit: Callable[[Iterator[tuple[list[str], np.ndarray, np.ndarray]]], object]) -> object | None:
+    """Run ``fit`` over chunks (texts, labels, weights) of a bounded sample in one executor task.
+
+    The texts never reach the driver; the fitted object comes back as one pickled
+    row. None where there is no row.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        def chunks():
+            for part, texts in text_chunks(batches, "text"):
+                yield texts, part.column(1).to_numpy(), part.column(2).to_numpy()
+
+        stream = chunks()
+        first = next(stream, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(chain([first], stream)))], pa.binary())], names=["model"])
+
+    made = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else None
