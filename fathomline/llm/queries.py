@@ -13,6 +13,7 @@ from fathomline.llm.langid import predict_languages
 from fathomline.llm.ogg import read_ogg, text_to_ogg
 from fathomline.llm.quality import score_quality
 from fathomline.llm.simhash import simhash_groups
+from fathomline.llm.toxicity import score_toxicity
 from fathomline.llm.urls import judge_urls, judge_urls_sql
 
 
@@ -24,6 +25,10 @@ def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -53,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_ogg_media": op6_ogg_media,
     "op7_language_id": op7_language_id,
