@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,11 @@ from fathomline.shipping import ship
 
 ROOT = 0
 NONE = -1
+PLACE, TOKEN = (1 << 24) - 1, (1 << 32) - 1
 #: What a worker keeps of states, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
-MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 250_000, 1_000_000, 300_000, 48
+MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 120_000, 300_000, 220_000, 48
 #: Places of the trie with at most so many tokens below are dropped when none of these fits.
-FEW = 6
+FEW = 1
 #: Bytes read before tokens are emitted within one piece.
 BLOCK = 4096
 
@@ -48,8 +49,10 @@ class Transducer:
     """Compiled merges; ``encode`` maps the bytes of one piece to token ids.
 
     A configuration is the token before the one that is being read and a place in
-    the trie; a state is a tuple of configurations, newest last. Reading a byte
-    writes the one token that ends there in the encoding of the bytes so far.
+    the trie, packed into one integer (token + 1, then 24 bits of place); a state is a
+    tuple of configurations, newest last. Reading a byte writes the one token that
+    ends there in the encoding of the bytes so far; a move packs the next state and
+    that token.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -86,8 +89,8 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.start = self._state(((NONE, ROOT),))
+        self.moves: dict[int, int] = {}
+        self.start = self._state((ROOT,))
 
     def _state(self, state: tuple) -> int:
         at = self.ids.get(state)
@@ -138,24 +141,25 @@ class Transducer:
             else:
                 before, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> int:
         after, written = [], NONE
         children, compatible = self.children, self.compatible
-        for last, at in self.states[state]:
-            to = children[at].get(byte)
+        for config in self.states[state]:
+            to = children[config & PLACE].get(byte)
             if to is None:
                 continue
+            last = (config >> 24) - 1
             token = self.token_at[to]
             if written < 0 <= token and (last < 0 or compatible(last, token)):
                 written = token
             if children[to]:
                 few = self.below[to]
                 if last < 0 or few is None or any(compatible(last, x) for x in few):
-                    after.append((last, to))
+                    after.append(last + 1 << 24 | to)
         if written < 0:
             raise ValueError("the vocabulary lacks a byte")
-        after.append((written, ROOT))
-        return self._state(tuple(after)), written
+        after.append(written + 1 << 24 | ROOT)
+        return self._state(tuple(after)) << 32 | written
 
     def _path(self, written: list[int], end: int) -> list[int]:
         """Tokens of the first ``end`` bytes, from the token that ends at each of them."""
@@ -178,8 +182,8 @@ class Transducer:
                     self._reset()
                     moves, state = self.moves, self._state(now)
                 move = moves[state << 8 | b] = self._move(state, b)
-            state, token = move
-            written.append(token)
+            state = move >> 32
+            written.append(move & TOKEN)
             if len(written) >= BLOCK + self.longest:
                 out += self._emit(written)
         return out + self._path(written, len(written))
@@ -239,9 +243,9 @@ class Encoder:
     kept; texts with other runs of white space go through the pattern as a whole.
     """
 
-    def __init__(self, machine: Transducer, pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
-        self.pieces = Pieces(machine)
+        self.pieces = Pieces(Transducer(ranks))
         #: Whether the pattern cuts at single spaces, as probes of each kind show.
         self.cuts = all(self.find(f"{a} {b}") == [*self.find(a), *self.find(f" {b}")] for a in ("a", "1", "!", "'", "_", "é", "'s", "a!") for b in ("a", "1", "!", "'s", "_", "é"))
         self.first, self.later = Chunks(self.pieces, self.find, ""), Chunks(self.pieces, self.find, " ")
@@ -282,7 +286,10 @@ def utf8_step(state: int, byte: int) -> int:
 class StreamDecoder:
     """Texts from a stream of ids: each call returns the characters that are complete."""
 
-    def __init__(self, bytes_of: list[bytes], block: int = 4096):
+    def __init__(self, ranks: dict[bytes, int], block: int = 4096):
+        bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            bytes_of[rank] = token
         self.bytes_of, self.block = bytes_of, block
         self.ends = np.fromiter((self._run(DONE, token) for token in bytes_of), np.int8, len(bytes_of))
         self._steps: dict[tuple[int, int], int] = {}
@@ -322,24 +329,23 @@ class StreamDecoder:
 
 # --- operators -----------------------------------------------------------
 
-_machines: dict[str, tuple[Transducer, StreamDecoder]] = {}
-_encoders: dict[tuple[str, str], Encoder] = {}
+_made: dict[tuple, object] = {}
 
 
-def machines(blob: bytes) -> tuple[Transducer, StreamDecoder]:
-    """The compiled vocabulary, once per Python worker."""
-    name = hashlib.sha256(blob).hexdigest()
-    if name not in _machines:
-        machine = Transducer(read_ranks(blob))
-        _machines[name] = (machine, StreamDecoder(machine.bytes_of))
-    return _machines[name]
+def _once(kind: Callable, blob: bytes, *rest: object) -> object:
+    """``kind(ranks, *rest)``, once per Python worker and vocabulary."""
+    key = (kind.__name__, hashlib.sha256(blob).hexdigest(), *rest)
+    if key not in _made:
+        _made[key] = kind(read_ranks(blob), *rest)
+    return _made[key]
 
 
 def encoder(blob: bytes, pattern: str) -> Encoder:
-    key = (hashlib.sha256(blob).hexdigest(), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(machines(blob)[0], pattern)
-    return _encoders[key]
+    return _once(Encoder, blob, pattern)
+
+
+def decoder(blob: bytes) -> StreamDecoder:
+    return _once(StreamDecoder, blob)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -384,9 +390,9 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = machines(shared.value)[1]
+        decode = decoder(shared.value).decode
         for part, arrays in _arrays(batches, "_ids"):
-            texts = pa.array(["".join(decoder.decode(a)) for a in arrays], pa.string())
+            texts = pa.array(["".join(decode(a)) for a in arrays], pa.string())
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(rest))], texts], names=[*rest, "decoded"])
 
     return source.mapInArrow(run, schema)
