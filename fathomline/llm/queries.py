@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.bpe import decode_documents, encode_documents
 from fathomline.llm.langid import predict_languages
+from fathomline.llm.linededup import dedup_lines, dedup_lines_sql
 from fathomline.llm.ogg import read_ogg, text_to_ogg
 from fathomline.llm.quality import score_quality
 from fathomline.llm.simhash import simhash_groups
@@ -37,6 +38,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = text_to_ogg(_table(spark, sf_dir, "documents"))
     known = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_trust": op1_url_trust,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op6_ogg_media": op6_ogg_media,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -67,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_trust": judge_urls_sql(),
+    "op5_line_dedup": dedup_lines_sql(),
 }
