@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ def document_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Per word: its document, lexical and shape feature; and the documents' counts of marks (n, 2)."""
     split = [t.split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    packed = np.fromiter((_words[w] for words in split for w in words), np.int64, int(sizes.sum()))
+    packed = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(texts)), sizes)
     marks = np.zeros((len(texts), 2))
     if len(packed):

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ class Field:
         """Each text's marginals, one per token."""
         tokens = [TOKEN.findall(t) for t in texts]
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        scores = np.fromiter((emissions[w] for ws in tokens for w in ws), float, int(sizes.sum()))
+        scores = np.fromiter(map(emissions.__getitem__, chain.from_iterable(tokens)), float, int(sizes.sum()))
         ends = np.cumsum(sizes)
         first = np.zeros(len(scores), bool)
         first[(ends - sizes)[sizes > 0]] = True
