@@ -13,6 +13,7 @@ from fathomline.llm.decontaminate import decontaminate
 from fathomline.llm.langid import predict_languages
 from fathomline.llm.linededup import dedup_lines, dedup_lines_sql
 from fathomline.llm.ogg import read_ogg, text_to_ogg
+from fathomline.llm.passages import repeated_passages
 from fathomline.llm.quality import score_quality
 from fathomline.llm.simhash import simhash_groups
 from fathomline.llm.toxicity import score_toxicity
@@ -62,6 +63,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg_media": op6_ogg_media,
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
