@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,9 +33,9 @@ from fathomline.shipping import ship
 
 ROOT = 0
 NONE = -1
-PLACE, TOKEN = (1 << 24) - 1, (1 << 32) - 1
+PLACE = (1 << 24) - 1
 #: What a worker keeps of states, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
-MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 120_000, 300_000, 220_000, 48
+MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 170_000, 300_000, 280_000, 40
 #: Places of the trie with at most so many tokens below are dropped when none of these fits.
 FEW = 1
 #: Bytes read before tokens are emitted within one piece.
@@ -51,8 +53,7 @@ class Transducer:
     A configuration is the token before the one that is being read and a place in
     the trie, packed into one integer (token + 1, then 24 bits of place); a state is a
     tuple of configurations, newest last. Reading a byte writes the one token that
-    ends there in the encoding of the bytes so far; a move packs the next state and
-    that token.
+    ends there in the encoding of the bytes so far.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -89,13 +90,14 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, int] = {}
+        self.moves: dict[int, tuple[int, int]] = {}
         self.start = self._state((ROOT,))
 
     def _state(self, state: tuple) -> int:
+        """The number of a state, shifted to make room for a byte."""
         at = self.ids.get(state)
         if at is None:
-            at = self.ids[state] = len(self.states)
+            at = self.ids[state] = len(self.states) << 8
             self.states.append(state)
         return at
 
@@ -141,10 +143,10 @@ class Transducer:
             else:
                 before, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> int:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
         after, written = [], NONE
         children, compatible = self.children, self.compatible
-        for config in self.states[state]:
+        for config in self.states[state >> 8]:
             to = children[config & PLACE].get(byte)
             if to is None:
                 continue
@@ -159,7 +161,7 @@ class Transducer:
         if written < 0:
             raise ValueError("the vocabulary lacks a byte")
         after.append(written + 1 << 24 | ROOT)
-        return self._state(tuple(after)) << 32 | written
+        return self._state(tuple(after)), written
 
     def _path(self, written: list[int], end: int) -> list[int]:
         """Tokens of the first ``end`` bytes, from the token that ends at each of them."""
@@ -171,20 +173,38 @@ class Transducer:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        out: list[int] = []
+        if len(piece) > BLOCK:
+            return self._encode_long(piece)
         written: list[int] = []
-        state, moves = self.start, self.moves
-        for b in piece:
-            move = moves.get(state << 8 | b)
-            if move is None:
+        self._read(self.start, piece, written)
+        return self._path(written, len(written))
+
+    def _read(self, state: int, part: bytes, written: list[int]) -> int:
+        """Follow the moves of ``part``, making those that are missing; the state after it."""
+        append, begun = written.append, len(written)
+        while True:
+            at = len(written) - begun
+            moves = self.moves
+            try:
+                for b in part[at:] if at else part:
+                    state, token = moves[state | b]
+                    append(token)
+                return state
+            except KeyError:
+                byte = part[len(written) - begun]
                 if len(self.states) > MOST_STATES:
-                    now = self.states[state]
+                    now = self.states[state >> 8]
                     self._reset()
-                    moves, state = self.moves, self._state(now)
-                move = moves[state << 8 | b] = self._move(state, b)
-            state = move >> 32
-            written.append(move & TOKEN)
-            if len(written) >= BLOCK + self.longest:
+                    state = self._state(now)
+                self.moves[state | byte] = self._move(state, byte)
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        out: list[int] = []
+        written: list[int] = []
+        state = self.start
+        for at in range(0, len(piece), BLOCK):
+            state = self._read(state, piece[at : at + BLOCK], written)
+            if len(written) > self.longest:
                 out += self._emit(written)
         return out + self._path(written, len(written))
 
@@ -199,19 +219,31 @@ class Transducer:
         return out
 
 
-class Pieces(dict):
-    """Ids of pieces as little-endian 32-bit integers, made when first asked for."""
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.machine = machine
 
-    def __missing__(self, piece: str) -> bytes:
-        made = np.array(self.machine.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MOST_PIECES:
+class Kept(dict):
+    """A table of results that keeps what is in use: when it is full, it becomes the
+    old generation, from which entries come back when they are asked for again."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = made
+            self[key] = made
         return made
 
 
@@ -219,24 +251,6 @@ class _Unsafe(Exception):
     """White space at the end of a chunk: the cut at single spaces would not be that of the pattern."""
 
 
-class Chunks(dict):
-    """Ids of what stands between single spaces, with the space before it or without."""
-
-    def __init__(self, pieces: Pieces, find, before: str):
-        super().__init__()
-        self.pieces, self.find, self.before = pieces, find, before
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Unsafe
-        made = b"".join(map(self.pieces.__getitem__, self.find(self.before + chunk)))
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= MOST_PIECES:
-                self.clear()
-            self[chunk] = made
-        return made
-
-
 class Encoder:
     """Texts to ids. A single space between two chunks starts a piece under the usual
     pattern (an optional space before letters, digits or signs), so chunks can be
@@ -245,10 +259,21 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
-        self.pieces = Pieces(Transducer(ranks))
+        self.machine = machine = Transducer(ranks)
+        #: Ids of pieces, and of what stands between single spaces with the space before it or without.
+        self.pieces = Kept(lambda piece: _packed(machine.encode(piece.encode())), MOST_PIECES)
+        self.first, self.later = Kept(lambda chunk: self._chunk("", chunk), MOST_PIECES // 16), Kept(lambda chunk: self._chunk(" ", chunk), MOST_PIECES)
         #: Whether the pattern cuts at single spaces, as probes of each kind show.
         self.cuts = all(self.find(f"{a} {b}") == [*self.find(a), *self.find(f" {b}")] for a in ("a", "1", "!", "'", "_", "é", "'s", "a!") for b in ("a", "1", "!", "'s", "_", "é"))
-        self.first, self.later = Chunks(self.pieces, self.find, ""), Chunks(self.pieces, self.find, " ")
+        #: Whether letters alone, with a space before them or without, are one piece.
+        self.letters = self.find("Ab") == ["Ab"] and self.find(" Ab") == [" Ab"] and self.find(" éß") == [" éß"]
+
+    def _chunk(self, before: str, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Unsafe
+        if self.letters and chunk.isalpha():
+            return self.pieces[before + chunk]
+        return b"".join(map(self.pieces.__getitem__, self.find(before + chunk)))
 
     def encode(self, text: str) -> bytes:
         if self.cuts and text:
