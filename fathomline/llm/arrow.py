@@ -16,13 +16,13 @@ from fathomline.shipping import ship
 CHUNK_BYTES = 4 << 20
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of at most ``most`` text bytes (or one row) with their texts, null as ''."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text)
         sizes = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
         at = 0
         while at < n:

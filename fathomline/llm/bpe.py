@@ -421,3 +421,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(rest))], texts], names=[*rest, "decoded"])
 
     return source.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` and, if kept, ``ids``: encoded, then decoded again."""
+    encoded = encode_documents(docs, vocabulary, pattern, doc_id, text)
+    known = encoded.select(F.col(f"`{doc_id}`"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", *([F.col("ids").alias("_encoded")] if keep_ids else []))
+    decoded = decode_documents(known, vocabulary)
+    return decoded.select(F.col(f"`{doc_id}`"), "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *([F.col("_encoded").alias("ids")] if keep_ids else []))

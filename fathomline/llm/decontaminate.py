@@ -240,6 +240,19 @@ def find_leaks(packed: np.ndarray, bench: Benchmark, coverage: float, run: int,
     return out
 
 
+def _in_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list:
+    """The benchmark as broadcasts of at most MOST_WINDOWS windows or so; usually one."""
+    spark = benchmark.sparkSession
+    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-2 * int(words) // MOST_WINDOWS))
+    out = []
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        out.append(spark.sparkContext.broadcast(Benchmark.build([(r[0], template_tokens(r[1])) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))])))
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, coverage, run, consistency, start_token, end_token)``: one row for each leak.
 
@@ -253,17 +266,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     are ignored.
     """
     ship(docs.sparkSession)
-    spark = docs.sparkSession
-    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-2 * int(words) // MOST_WINDOWS))
     source = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind, item_kind = (x.schema[0].dataType.simpleString() for x in (source, items))
+    kind, item_kind = source.schema["id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, coverage double, run int, consistency double, start_token int, end_token int"
     parts = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # at most MOST_WINDOWS words or so
-        shared = spark.sparkContext.broadcast(Benchmark.build([(r[0], template_tokens(r[1])) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]))
+    for shared in _in_blocks(benchmark, item_id, item_text):
         item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
@@ -281,3 +288,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for more in parts[1:]:
         out = out.unionByName(more)
     return out.withColumnRenamed("id", doc_id).withColumnRenamed("item", item_id)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns; nothing is shuffled.
+
+    Rules and cases are those of ``decontaminate``; rows with a null text stay.
+    """
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+    out = docs
+    for shared in _in_blocks(benchmark, item_id, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            bench = shared.value
+            for part, texts in text_chunks(batches, at):
+                packed, starts = chunk_tokens(texts)
+                keep = np.ones(len(texts), bool)
+                for i in bench.touched(packed, starts).tolist():
+                    keep[i] = not find_leaks(packed[starts[i] : starts[i + 1]], bench, coverage, run, consistency)
+                yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
