@@ -89,10 +89,11 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, doc_id: str, text: str,
     kind = source.schema["id"].dataType.simpleString()
     found = scratch.save(source.mapInArrow(_fingerprints(k, w), f"id {kind}, th long, fp long, at long, j long, a long, b long"))
     place = F.struct("id", "th", "at")
-    twice = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("fp")
+    # Both small sides are written tables, so that the joins have plain exchanges below and hot keys can be split.
+    twice = scratch.save(found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("fp"))
     near = found.join(twice, "fp", "left_semi")
     here = F.struct("id", "th", "j")
-    first = near.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first")
+    first = scratch.save(near.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first"))
     later = near.join(first, ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.collect_set("j").alias("starts"))
 
