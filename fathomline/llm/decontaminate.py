@@ -12,7 +12,7 @@ the document throughout, as in a question asked again with other parameters.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -203,11 +203,12 @@ def slot_consistency(item: np.ndarray, doc: np.ndarray) -> float:
     if not len(slots):
         return 1.0
     pairs = Counter(zip(item[slots].tolist(), doc[slots].tolist(), strict=True))
-    there, back = defaultdict(Counter), defaultdict(Counter)
-    for (a, b), n in pairs.items():
-        there[a][b] += n
-        back[b][a] += n
-    good = sum(n for (a, b), n in pairs.items() if there[a][b] == max(there[a].values()) and back[b][a] == max(back[b].values()))
+    there, back, good = set(), set(), 0
+    for (a, b), n in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):  # the most frequent pairs first
+        if a not in there and b not in back:
+            there.add(a)
+            back.add(b)
+            good += n
     return good / len(slots)
 
 

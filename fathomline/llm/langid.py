@@ -27,13 +27,10 @@ _SPACE = 32
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each between two spaces, lower-cased, and the text of each."""
-    lower = [t.lower() for t in texts]
-    joined = " ".join(["", *lower, ""])
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, lower), np.int64, len(lower))
-    owner = np.repeat(np.arange(len(lower)), lengths + 1)
-    return codes, owner
+    """Code points of all texts end to end, each between two spaces and lower-cased, and where each begins."""
+    lower = [f" {t.lower()} " for t in texts]
+    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.r_[0, np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)))]
 
 
 _letters: dict[int, bool] = {}
@@ -53,15 +50,17 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 def ngram_hashes(texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams of letters and word borders, the text of each, and whether a text has a letter."""
-    codes, owner = _codes(texts)
+    codes, starts = _codes(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     letter = _is_letter(codes)
     has = np.zeros(len(texts), bool)
-    has[owner[letter[1:]]] = True
+    has[owner[letter]] = True
     folded = np.where(letter, codes, _SPACE).astype(np.uint64)
-    # Runs of other characters shrink to one border.
-    keep = letter | np.r_[True, letter[:-1]]
-    keep[0] = True
-    folded, owner = folded[keep], np.r_[owner[0] if len(owner) else 0, owner][keep]
+    # Runs of other characters shrink to one border; every text begins with one.
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[starts[:-1]] = True
+    folded, owner = folded[keep], owner[keep]
     hashes, owners = [], []
     for n in sizes:
         if len(folded) < n:
