@@ -243,6 +243,21 @@ def detect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("query_id", "region_id", "image_id", "label", "score", "confidence"), "score", "confidence")
 
 
+@query(f"""with recursive {HITS}, {LABELS},
+pairs as (select h.query_id, g.region_id, b.id, b.label, b.modality, {cos('g.embedding', 'b.embedding')} as score from regions g, hits h join refs b using (id)),
+asked as (select *, row_number() over (partition by query_id, region_id order by score desc, id) as rank from pairs join resolved using (query_id, label)),
+{scored('asked', 'query_id, region_id')},
+{judged("select s.*, agg_weighted_mean + 0.2::double * coalesce(boost, 0e0) as agg from scores s left join boost using (query_id, label)", 'query_id, region_id')},
+gated as (select *, region_id as seq, confidence as conf from winners where confidence >= 0.15),
+{sql_nms('gated', 'image_id, label, query_id')}
+select query_id, region_id, image_id, label, round(agg, 6) as score, round(confidence, 6) as confidence from gated where (image_id, label, query_id, seq) in (select image_id, label, query_id, seq from alone)""")
+def detect_text_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions see the query's own candidates only, and queries do not suppress each other."""
+    config = EngineConfig(restrict_to_query_candidates=True, nms_scope="per_query")
+    found = Engine(_refs(spark, sf_dir), config).detect_text(view(spark, sf_dir, "regions"), view(spark, sf_dir, "queries"))
+    return rounded(found.select("query_id", "region_id", "image_id", "label", "score", "confidence"), "score", "confidence")
+
+
 IMAGE_HITS = f"""{sql_views('refs', 'queries', 'regions')}, {knn('hits', 'select * from queries', IMAGE_BANK, 'query_id')},
 pooled as (select label, count(*) as n, avg(score) as mean, max(score) as best from hits group by label)"""
 IMAGE_BOOSTS = {"mean": "select label, mean as boost from pooled", "max": "select label, best as boost from pooled", "mode": "select label, n::double as boost from pooled order by n desc, round(mean, 9) desc, label limit 1"}
@@ -290,9 +305,9 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hits.select("query_id", "id", "label", "modality", "score", "rank"), "score")
 
 
-@query(None)
+@query(f"select 'text_query' as source, * from ({ORACLES['detect_text']}) a union all by name select 'image_query' as source, * from ({ORACLES['detect_image']}) b")
 def detections_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and image detections side by side; each half has a twin of its own."""
+    """Text and image detections side by side; they do not suppress each other."""
     queries = view(spark, sf_dir, "queries")
     found = Engine(_refs(spark, sf_dir), CONFIG).detect_hybrid(view(spark, sf_dir, "regions"), queries, queries)
     return rounded(found.select("source", "query_id", "region_id", "image_id", "label", "score", "confidence"), "score", "confidence")
