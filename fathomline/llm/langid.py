@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import map_texts
+from fathomline.llm.arrow import map_texts, text_chunks
 from fathomline.llm.sample import crc_rest, hash_sample
 from fathomline.shipping import ship
 
@@ -155,9 +155,8 @@ def fit_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", per
     sampled = hash_sample(keyed, "key", "lang", per_language)
 
     def count(batches):
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+        for part, texts in text_chunks(batches, "text"):
+            langs = part.column(0).to_pylist()
             for language in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == language]
                 hashes, n = np.unique(ngram_hashes(own, sizes)[0], return_counts=True)

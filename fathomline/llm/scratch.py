@@ -45,6 +45,9 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         schema = df.schema
         df.write.parquet(path)
+        if self._n == 1:  # the whole folder goes when the application ends
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
         out = self.spark.read.schema(schema).parquet(path)
         self._paths[id(out)] = path
         return out
