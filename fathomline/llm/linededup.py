@@ -48,7 +48,10 @@ def _mixed(parts: list[np.ndarray], seed: int) -> np.ndarray:
 
 
 def winnow(lines: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of ``w + k - 1`` lines: fingerprint, its place, and two hashes of all lines."""
+    """For each window of ``w + k - 1`` lines: fingerprint, its place, and two hashes of all lines.
+
+    Places never fall from one window to the next.
+    """
     n = len(lines) - w - k + 2
     if n < 1:
         none = np.empty(0, np.uint64)
@@ -72,12 +75,13 @@ def _fingerprints(k: int, w: int):
                 hashes = np.fromiter((xxhash.xxh64_intdigest(lines[j].strip(TRIMMED)) for j in own), np.uint64, len(own))
                 fp, at, a, b = winnow(hashes, k, w)
                 rows.append(np.full(len(fp), i))
-                for column, x in zip(columns, (fp, at, np.arange(len(fp)), a, b), strict=True):
+                fresh = np.r_[True, at[1:] != at[:-1]]  # the first window that has this place
+                for column, x in zip(columns, (fp, fresh, np.arange(len(fp)), a, b), strict=True):
                     column.append(x)
             if rows:
                 owner = pa.array(np.concatenate(rows))
-                fp, at, j, a, b = (np.concatenate(c) for c in columns)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (fp, at, j, a, b))], names=["id", "th", "fp", "at", "j", "a", "b"])
+                fp, fresh, j, a, b = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x.astype(np.uint64).view(np.int64)) for x in (fp, fresh, j, a, b))], names=["id", "th", "fp", "fresh", "j", "a", "b"])
 
     return run
 
@@ -87,10 +91,9 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, doc_id: str, text: str,
     ship(docs.sparkSession)
     source = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("th"), F.col(f"`{text}`").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    found = scratch.save(source.mapInArrow(_fingerprints(k, w), f"id {kind}, th long, fp long, at long, j long, a long, b long"))
-    place = F.struct("id", "th", "at")
+    found = scratch.save(source.mapInArrow(_fingerprints(k, w), f"id {kind}, th long, fp long, fresh long, j long, a long, b long"))
     # Both small sides are written tables, so that the joins have plain exchanges below and hot keys can be split.
-    twice = scratch.save(found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("fp"))
+    twice = scratch.save(found.groupBy("fp").agg(F.sum("fresh").alias("places")).where("places > 1").select("fp"))
     near = found.join(twice, "fp", "left_semi")
     here = F.struct("id", "th", "j")
     first = scratch.save(near.groupBy("a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first"))
@@ -115,7 +118,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     source = docs.select(*[F.col(f"`{c}`") for c in rest])
     own = source.withColumn("_own", F.xxhash64(f"`{text}`"))
-    joined = own.join(starts, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left").select(*[F.col(f"`{c}`") for c in rest], F.col("_starts"))
+    # One row per document on the right: a hash table of it spares sorting whole texts.
+    joined = own.join(starts.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")), "left").select(*[F.col(f"`{c}`") for c in rest], F.col("_starts"))
     at = rest.index(text)
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "n_lines long", "n_removed long"])
 
