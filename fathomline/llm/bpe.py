@@ -35,7 +35,7 @@ ROOT = 0
 NONE = -1
 PLACE = (1 << 24) - 1
 #: What a worker keeps of states, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
-MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 170_000, 300_000, 280_000, 40
+MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 220_000, 300_000, 340_000, 40
 #: Places of the trie with at most so many tokens below are dropped when none of these fits.
 FEW = 1
 #: Bytes read before tokens are emitted within one piece.
@@ -424,8 +424,28 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` and, if kept, ``ids``: encoded, then decoded again."""
-    encoded = encode_documents(docs, vocabulary, pattern, doc_id, text)
-    known = encoded.select(F.col(f"`{doc_id}`"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids", *([F.col("ids").alias("_encoded")] if keep_ids else []))
-    decoded = decode_documents(known, vocabulary)
-    return decoded.select(F.col(f"`{doc_id}`"), "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *([F.col("_encoded").alias("ids")] if keep_ids else []))
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` and, if kept, ``ids``: encoded, then decoded again.
+
+    Both happen in one Python worker, so that the ids are not sent out and back and
+    no worker holds a second encoder. Cases are those of ``encode_documents``.
+    """
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def setup():
+        encode, decode = encoder(shared.value, pattern).encode, decoder(shared.value).decode
+
+        def decoded(ids: bytes) -> str:
+            digest = hashlib.sha256()
+            for piece in decode(np.frombuffer(ids, "<u4")):
+                digest.update(piece.encode())
+            return digest.hexdigest()
+
+        def work(texts: list[str]) -> dict[str, object]:
+            made = [encode(t) for t in texts]
+            out = {"n_tokens": pa.array([len(x) // 4 for x in made], pa.int64()), "ids_sha256": [hashlib.sha256(x).hexdigest() for x in made], "decoded_sha256": [decoded(x) for x in made]}
+            return out | ({"ids": pa.array(made, pa.binary())} if keep_ids else {})
+
+        return work
+
+    return map_texts(docs, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, None, setup)
