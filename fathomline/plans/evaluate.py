@@ -61,20 +61,10 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("mean_ap"), F.coalesce(F.avg("ar"), F.lit(0.0)).alias("mean_ar"), F.count("*").alias("num_labels"))
 
 
-def pooled_average_precision(matched: DataFrame, truth: DataFrame, order: tuple[str, ...] = ("image_id", "seq")) -> DataFrame:
-    """One AP and AR over all labels together.
-
-    The curve over everything is one sequence; it is reduced to one row per distinct
-    confidence before it is ordered, so the single window sees counts, not rows.
-    Predictions of equal confidence enter together.
-    """
-    counts = matched.groupBy("conf").agg(F.sum("tp").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
-    by = Window.orderBy(F.desc("conf"))
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = truth.agg(F.count("*").cast("double").alias("g"))
-    curve = counts.crossJoin(F.broadcast(total)).withColumns({"tps": F.sum("tp").over(upto), "ns": F.sum("n").over(upto)}).withColumns({"p": F.col("tps") / (F.col("ns") + EPS), "r": F.col("tps") / (F.col("g") + EPS)})
-    curve = curve.withColumns({"e": F.max("p").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "d": F.col("r") - F.coalesce(F.lag("r").over(by), F.lit(0.0))})
-    return curve.agg(F.coalesce(F.sum(F.col("d") * F.col("e")), F.lit(0.0)).alias("ap"), F.coalesce(F.max("r"), F.lit(0.0)).alias("ar"))
+def pooled_average_precision(matched: DataFrame, truth: DataFrame, **how: object) -> DataFrame:
+    """One AP and AR over all labels together: the same sliced curve with a single label."""
+    one = F.lit("all")
+    return average_precision(matched.withColumn("_pool", one), truth.withColumn("_pool", one), "_pool", **how).select("ap", "ar")
 
 
 def evaluate(predictions: DataFrame, truth: DataFrame, labels: DataFrame, iou: float = 0.5) -> DataFrame:

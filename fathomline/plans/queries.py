@@ -410,10 +410,10 @@ def mean_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.mean_metrics(_metrics(spark, sf_dir)), "mean_ap", "mean_ar")
 
 
-@query(f"""{MATCH}, c as (select conf, sum(tp)::double as tp, count(*)::double as n from matched group by conf), size as (select count(*)::double as g from truth),
-r as (select conf, sum(tp) over w as tps, sum(n) over w as ns from c window w as (order by conf desc rows between unbounded preceding and current row)),
-s as (select conf, tps / (ns + 1e-8) as p, tps / (g + 1e-8) as r from r, size),
-e as (select *, max(p) over (order by conf desc rows between current row and unbounded following) as e, r - coalesce(lag(r) over (order by conf desc), 0e0) as d from s) select round(sum(d * e), 6) as ap, round(max(r), 6) as ar from e""")
+@query(f"""{MATCH}, size as (select count(*) as num_gt from truth),
+c as (select tp, conf, image_id, seq, num_gt, row_number() over w as n, sum(tp) over (w rows between unbounded preceding and current row) as tps from matched, size window w as (order by conf desc, image_id, seq)),
+d as (select *, tps / (n + 1e-8) as p, tps / (num_gt + 1e-8) as r from c),
+e as (select *, max(p) over (order by conf desc, image_id, seq rows between current row and unbounded following) as e, r - (tps - tp) / (num_gt + 1e-8) as d from d) select round(sum(d * e), 6) as ap, round(max(r), 6) as ar from e""")
 def pooled_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.pooled_average_precision(_matched(spark, sf_dir), truth(spark, sf_dir)), "ap", "ar")
 
