@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fathomline.shipping import ship
 
 #: Text bytes handled at once in a Python worker; longer single texts make a chunk of their own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

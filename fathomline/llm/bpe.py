@@ -35,7 +35,7 @@ ROOT = 0
 NONE = -1
 PLACE = (1 << 24) - 1
 #: What a worker keeps of states, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
-MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 220_000, 300_000, 340_000, 40
+MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 150_000, 250_000, 240_000, 40
 #: Places of the trie with at most so many tokens below are dropped when none of these fits.
 FEW = 1
 #: Bytes read before tokens are emitted within one piece.
