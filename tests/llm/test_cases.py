@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm.bpe import round_trip
+from fathomline.llm.bpe import decode_documents, encode_documents, round_trip
 from fathomline.llm.decontaminate import decontaminate, drop_contaminated
 from fathomline.llm.langid import predict_languages
 from fathomline.llm.linededup import dedup_lines
@@ -104,3 +104,10 @@ def test_awkward_pages(spark):
     assert (got[1]["host"], got[3]["host"], got[5]["host"], got[6]["host"], got[6]["path"]) == ("", "", "", "b.com", "")
     assert (got[4]["rule"], got[4]["verdict"], got[4]["path"]) == ("example.net/en/", "allow", "/en/x")
     assert got[1]["verdict"] == "allow" and got[1]["rule"] is None
+
+
+def test_ids_decode_to_the_text(spark):
+    docs = awkward(spark)
+    got = decode_documents(encode_documents(docs, RANKS, PATTERN).withColumn("more", F.lit(1)), RANKS).collect()
+    assert sorted((r["doc_id"] or 0, r["decoded"]) for r in got) == sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+    assert {r["more"] for r in got} == {1}
