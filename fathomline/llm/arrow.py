@@ -16,6 +16,22 @@ from fathomline.shipping import ship
 CHUNK_BYTES = 1 << 20
 
 
+_tables: dict[str, dict] = {}
+
+
+def worker_table(operator: str, table: dict) -> dict:
+    """Register a table that an operator keeps in Python workers between tasks."""
+    _tables[operator] = table
+    return table
+
+
+def only_tables_of(operator: str) -> None:
+    """Empty what other operators left in this worker; workers outlive a stage."""
+    for name, table in _tables.items():
+        if name != operator:
+            table.clear()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of at most ``most`` text bytes (or one row) with their texts, null as ''."""
     for batch in batches:
@@ -34,11 +50,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", mos
             at = end
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[list[str]], dict[str, object]], setup: Callable[[], Callable] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[list[str]], dict[str, object]], setup: Callable[[], Callable] | None = None, operator: str = "") -> DataFrame:
     """``keys`` plus the columns that ``work(texts)`` returns for each chunk of rows.
 
     ``work`` gets a list of texts (null is '') and returns one sequence per column
     of ``schema`` beyond the keys. With ``setup`` the callable is made once per task.
+    Tables of operators other than ``operator`` are emptied in the worker first.
     Input columns with other names never reach Python.
     """
     ship(df.sparkSession)
@@ -48,6 +65,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
     full = f"{key_types}, {schema}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_tables_of(operator)
         fn = setup() if setup else work
         for part, texts in text_chunks(batches, "_t"):
             made = fn(texts)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import map_texts
+from fathomline.llm.arrow import map_texts, only_tables_of, worker_table
 from fathomline.shipping import ship
 
 ROOT = 0
@@ -354,7 +354,7 @@ class StreamDecoder:
 
 # --- operators -----------------------------------------------------------
 
-_made: dict[tuple, object] = {}
+_made: dict[tuple, object] = worker_table("bpe", {})
 
 
 def _once(kind: Callable, blob: bytes, *rest: object) -> object:
@@ -389,7 +389,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str
         encode = encoder(shared.value, pattern).encode
         return lambda texts: {"ids": pa.array(map(encode, texts), pa.binary())}
 
-    return map_texts(docs, [doc_id], text, "ids binary", None, setup)
+    return map_texts(docs, [doc_id], text, "ids binary", None, setup, "bpe")
 
 
 def _arrays(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -415,6 +415,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_tables_of("bpe")
         decode = decoder(shared.value).decode
         for part, arrays in _arrays(batches, "_ids"):
             texts = pa.array(["".join(decode(a)) for a in arrays], pa.string())
@@ -448,4 +449,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "do
 
         return work
 
-    return map_texts(docs, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, None, setup)
+    return map_texts(docs, [doc_id], text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids, None, setup, "bpe")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import text_chunks
+from fathomline.llm.arrow import only_tables_of, text_chunks, worker_table
 from fathomline.shipping import ship
 
 LITERAL, NAME, NUMBER, UNIT, NOTHING, SEVERAL = range(6)
@@ -68,7 +68,7 @@ class Tokens(dict):
         return made
 
 
-_tokens = Tokens()
+_tokens = worker_table("decontaminate", Tokens())
 #: Hashes of the placeholders, by kind.
 _HOLDERS = np.array([0, *[xxhash.xxh64_intdigest(f"<{k}>") for k in ("name", "number", "unit")]], np.uint64)
 
@@ -275,6 +275,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
+            only_tables_of("decontaminate")
             bench = shared.value
             for part, texts in text_chunks(batches, "text"):
                 packed, starts = chunk_tokens(texts)
@@ -302,6 +303,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for shared in _in_blocks(benchmark, item_id, item_text):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            only_tables_of("decontaminate")
             bench = shared.value
             for part, texts in text_chunks(batches, at):
                 packed, starts = chunk_tokens(texts)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import map_texts, text_chunks
+from fathomline.llm.arrow import map_texts, only_tables_of, text_chunks
 from fathomline.llm.sample import crc_rest, hash_sample
 from fathomline.shipping import ship
 
@@ -155,6 +155,7 @@ def fit_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", per
     sampled = hash_sample(keyed, "key", "lang", per_language)
 
     def count(batches):
+        only_tables_of("language")
         for part, texts in text_chunks(batches, "text"):
             langs = part.column(0).to_pylist()
             for language in sorted(set(langs)):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import text_chunks
+from fathomline.llm.arrow import only_tables_of, text_chunks
 from fathomline.llm.scratch import Scratch
 from fathomline.shipping import ship
 
@@ -66,6 +66,7 @@ def winnow(lines: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _fingerprints(k: int, w: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_tables_of("lines")
         for part, texts in text_chunks(batches, "text"):
             rows, columns = [], [[], [], [], [], []]
             for i, text in enumerate(texts):
@@ -124,6 +125,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "n_lines long", "n_removed long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_tables_of("lines")
         for part, _ in text_chunks(batches, text):
             texts, cuts = part.column(at).to_pylist(), part.column(len(rest)).to_pylist()
             n_lines, n_removed = [0] * len(texts), [0] * len(texts)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import map_texts
+from fathomline.llm.arrow import map_texts, worker_table
 from fathomline.llm.sample import crc_rest, fit_in_one_task, labelled_sample
 
 LEXICAL, SHAPES, DIM, NONZERO, HIDDEN = 2048, 1024, 64, 6, 32
@@ -53,7 +53,7 @@ class Words(dict):
         return made
 
 
-_words = Words()
+_words = worker_table("quality", Words())
 
 
 def document_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,5 +198,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", do
         own = shared.value
         return lambda texts: {"score": pa.array(own.scores(texts) if own else np.full(len(texts), 0.5))}
 
-    scored = map_texts(docs, [doc_id], text, "score double", None, setup)
+    scored = map_texts(docs, [doc_id], text, "score double", None, setup, "quality")
     return scored.select(F.col(f"`{doc_id}`"), F.coalesce(crc_rest(doc_id, modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
