@@ -405,6 +405,20 @@ def test_planted_passages(spark):
     assert 0.9 < got[5, 4]["identity"] < 1 and got[5, 4]["end_word"] - got[5, 4]["start_word"] >= 70
 
 
+def found_passages(spark, docs):
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    return sorted((r["doc_id"], r["partner"], r["start_word"], r["end_word"]) for r in passages.repeated_passages(table).collect())
+
+
+def test_passages_with_own_text_between(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    one, two, three = text(100), text(100), text(60)
+    docs = {1: one + text(100) + two + text(45) + three, 2: text(7) + one + text(100) + two + text(45) + three}
+    assert found_passages(spark, docs) == [(2, 1, 7, 107), (2, 1, 207, 307), (2, 1, 352, 412)]
+
+
 def test_repeats_equal_brute_force(docs):
     k, first, want = 50, {}, set()
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
