@@ -419,6 +419,25 @@ def test_passages_with_own_text_between(spark):
     assert found_passages(spark, docs) == [(2, 1, 7, 107), (2, 1, 207, 307), (2, 1, 352, 412)]
 
 
+def test_passages_whose_seeds_are_first_met_elsewhere(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    exact, short = text(60), text(40)
+    docs = {1: text(9) + exact[:30] + text(30), 2: text(40) + exact[30:] + text(9), 3: text(20) + exact + text(8), 4: exact + text(50)}
+    docs |= {5: text(30) + short[:25] + text(9), 6: text(5) + short[18:] + text(30), 7: text(30) + short + text(30), 8: text(60) + short + text(12)}
+    assert found_passages(spark, docs) == [(4, 3, 0, 60), (8, 7, 60, 100)]
+
+
+@pytest.mark.parametrize("period, n", [(1, 60), (3, 61), (7, 300), (15, 60), (20, 200)])
+def test_passages_that_repeat_a_phrase(spark, period, n):
+    rng = random.Random(period)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    run = (text(period) * n)[:n]
+    assert found_passages(spark, {1: text(50) + run + text(50), 2: text(70) + run + text(20)}) == [(2, 1, 70, 70 + n)]
+
+
 def test_repeats_equal_brute_force(docs):
     k, first, want = 50, {}, set()
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
