@@ -438,6 +438,21 @@ def test_passages_that_repeat_a_phrase(spark, period, n):
     assert found_passages(spark, {1: text(50) + run + text(50), 2: text(70) + run + text(20)}) == [(2, 1, 70, 70 + n)]
 
 
+@pytest.mark.parametrize("n, every, share", [(60, 6, None), (120, 6, None), (60, None, 0.1), (60, None, 0.15), (120, None, 0.15)])
+def test_recall_of_changed_passages(spark, n, every, share):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    docs = {}
+    for i in range(100):
+        own = text(n)
+        gone = range(every - 1, n, every) if every else rng.sample(range(n), round(n * share))
+        changed = [rng.choice(words) if j in gone else x for j, x in enumerate(own)]
+        docs |= {i: text(50) + own + text(50), 1000 + i: text(70) + changed + text(30)}
+    got = {(a, b) for a, b, _, _ in found_passages(spark, docs)}
+    assert len(got & {(1000 + i, i) for i in range(100)}) >= 97 and all(a - 1000 == b for a, b in got)
+
+
 def test_repeats_equal_brute_force(docs):
     k, first, want = 50, {}, set()
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
