@@ -212,8 +212,33 @@ def slot_consistency(item: np.ndarray, doc: np.ndarray) -> float:
     return good / len(slots)
 
 
+def instances(p: np.ndarray, a: np.ndarray, part: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hits of a part (by place in the text) in chains that go forward in the item and in the text."""
+    chains: list[list[int]] = []
+    near: list[list[int]] = []
+    seen = set()
+    for i in part.tolist():
+        here = int(p[i]), int(a[i])
+        if here in seen:  # both templates
+            continue
+        seen.add(here)
+        near = [c for c in near if a[i] - a[c[-1]] <= n]
+        fit = [(abs(int(a[i] - p[i] - a[c[-1]] + p[c[-1]])), -j) for j, c in enumerate(near) if p[c[-1]] < p[i] and a[c[-1]] < a[i]]
+        shift, j = min(fit, default=(n, 0))
+        if shift <= n // 2:
+            near[-j].append(i)
+        else:
+            chains.append([i])
+            near.append(chains[-1])
+    return [np.array(c) for c in chains]
+
+
 def find_leaks(packed: np.ndarray, bench: Benchmark, coverage: float, run: int, consistency: float) -> list[Leak]:
-    """Items of which the text holds a share of ``coverage``, or ``run`` tokens on end, with consistent slots."""
+    """Items of which the text holds a share of ``coverage``, or ``run`` tokens on end, with consistent slots.
+
+    Where the slots of all hits that stand close together are not consistent, each
+    instance of the item is judged by itself.
+    """
     items, places, at = bench.hits(packed)
     out: list[Leak] = []
     for k in np.unique(items).tolist():
@@ -223,19 +248,26 @@ def find_leaks(packed: np.ndarray, bench: Benchmark, coverage: float, run: int,
         order = np.lexsort((places[own], at[own]))
         p, a = places[own][order], at[own][order]
         best: Leak | None = None
-        for part in np.split(np.arange(len(p)), np.flatnonzero(np.diff(a) > n) + 1):
+        parts = np.split(np.arange(len(p)), np.flatnonzero(np.diff(a) > n) + 1)
+        apart: list[np.ndarray] = []
+        single = False
+        while parts:
+            part = parts.pop(0)
             covered = np.zeros(n + 1, np.int64)
             for q in np.unique(p[part]).tolist():
                 covered[q : q + size] = 1
             edges = np.flatnonzero(np.diff(np.r_[0, covered]))
             longest = int((edges[1::2] - edges[::2]).max())
             share = covered.sum() / n
-            if share < coverage and longest < run:
-                continue
-            pairs = np.unique(np.concatenate([np.stack([p[part] + i, a[part] + i], axis=1) for i in range(size)]), axis=0)
-            agree = slot_consistency(item[pairs[:, 0]], packed[pairs[:, 1]])
-            if agree >= consistency and (best is None or share > best.coverage):
-                best = Leak(bench.ids[k], float(share), longest, agree, int(a[part].min()), int(a[part].max()) + size)
+            if share >= coverage or longest >= run:
+                pairs = np.unique(np.concatenate([np.stack([p[part] + i, a[part] + i], axis=1) for i in range(size)]), axis=0)
+                agree = slot_consistency(item[pairs[:, 0]], packed[pairs[:, 1]])
+                if agree < consistency and not single:
+                    apart += instances(p, a, part, n)
+                if agree >= consistency and (best is None or share > best.coverage):
+                    best = Leak(bench.ids[k], float(share), longest, agree, int(a[part].min()), int(a[part].max()) + size)
+            if not parts and not single:
+                parts, single = apart, True
         if best:
             out.append(best)
     return out

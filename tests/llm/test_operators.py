@@ -83,6 +83,12 @@ def test_slots_must_be_consistent():
     assert decontaminate.slot_consistency(item, bad) < 0.8
 
 
+def test_instances_of_an_item_are_judged_by_themselves():
+    one = ITEM.replace("Alice", "Carol").replace("Bob", "Dan").replace("12", "40").replace("5 of", "7 of").replace("150 g", "90 kg")
+    two = ITEM.replace("Alice", "Emil").replace("Bob", "Fred").replace("12", "31").replace("5 of", "8 of").replace("3 kg", "9 lb").replace("150 g", "20 kg")
+    assert leaks(f"{one} {two}") == leaks(f"{ITEM} {one}") == leaks(" ".join([one, two, ITEM.replace("12", "77")] * 20)) == [1]
+
+
 def test_verbatim_items_are_found(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
