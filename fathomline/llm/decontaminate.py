@@ -4,7 +4,9 @@ Words become template tokens: numbers, names (capitalised words) and units turn
 typed placeholders, other words are lower-cased and stripped of punctuation. Windows
 of five tokens are hashed and joined with the windows of the benchmark items. Two
 templates are used side by side, with and without name placeholders, so both renamed
-questions and copies in other letter case are met. Where windows of one item crowd
+questions and copies in other letter case are met. Windows dense in numbers and units,
+of which the placeholders would leave too little, are compared as they are, so such
+items are met where they are copied, not with other parameters. Where windows of one item crowd
 together, the slots are compared: each value of the item must stand for one value of
 the document throughout, as in a question asked again with other parameters.
 """
@@ -30,6 +32,7 @@ LITERAL, NAME, NUMBER, UNIT, NOTHING, SEVERAL = range(6)
 #: Units and number words that count as such.
 UNITS = frozenset("% $ € £ mm cm m km in ft yd mi mile miles g kg mg lb lbs oz t ton tons ml l litre litres liter liters ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents pound pounds percent degree degrees".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+TEMPLATES = UNNAMED, NAMED, VERBATIM = range(3)
 SIZE, LITERALS = 5, 3  # tokens of a window, and how many of them must be no placeholder
 SHORTEST = 3  # items below so many tokens cannot be told from ordinary text and are never reported
 MOST_WORDS = 400_000
@@ -102,16 +105,21 @@ def template_tokens(text: str) -> np.ndarray:
     return chunk_tokens([text])[0]
 
 
-def _windows(packed: np.ndarray, size: int, named: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that begins at each token, and whether it has enough words that are no placeholder."""
+def _windows(packed: np.ndarray, size: int, template: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the window that begins at each token, and whether it counts in the template.
+
+    A window needs enough words that are no placeholder; in the template VERBATIM
+    those count that lack them (without names as placeholders), as they are.
+    """
     kind = (packed & np.uint64(7)).astype(np.int8)
     held = (kind == NUMBER) | (kind == UNIT)
-    if named:
+    if template == NAMED:
         held |= kind == NAME
     token = packed >> np.uint64(3)
-    token[held] = _HOLDERS[kind[held]]
+    if template != VERBATIM:
+        token[held] = _HOLDERS[kind[held]]
     n = len(packed) - size + 1
-    h = np.full(n, size * 2 + named, np.uint64)
+    h = np.full(n, size * 3 + template, np.uint64)
     for i in range(size):
         h *= np.uint64(0x9FB21C651E98DF25)
         h += token[i : i + n]
@@ -119,7 +127,8 @@ def _windows(packed: np.ndarray, size: int, named: bool) -> tuple[np.ndarray, np
     h *= np.uint64(0xD6E8FEB86659FD93)
     free = np.zeros(len(packed) + 1, np.int32)
     np.cumsum(~held, out=free[1:])
-    return h, free[size:] - free[:-size] >= min(LITERALS, size - 1)
+    enough = free[size:] - free[:-size] >= min(LITERALS, size - 1)
+    return h, ~enough if template == VERBATIM else enough
 
 
 @dataclass
@@ -142,8 +151,8 @@ class Benchmark:
             if size < SHORTEST:
                 continue
             sizes.add(size)
-            for named in (False, True):
-                h, good = _windows(packed, size, named)
+            for template in TEMPLATES:
+                h, good = _windows(packed, size, template)
                 hashes.append(h[good])
                 items.append(np.full(good.sum(), k, np.int32))
                 places.append(np.flatnonzero(good).astype(np.int32))
@@ -159,8 +168,8 @@ class Benchmark:
         found = []
         for size in self.sizes:
             if len(packed) >= size:
-                for named in (False, True):
-                    h, good = _windows(packed, size, named)
+                for template in TEMPLATES:
+                    h, good = _windows(packed, size, template)
                     at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)] & good)
                     at = at[np.isin(h[at], self.hashes)] if len(at) else at
                     text = np.searchsorted(starts, at, "right") - 1
@@ -173,8 +182,8 @@ class Benchmark:
         for size in self.sizes:
             if len(packed) < size:
                 continue
-            for named in (False, True):
-                h, good = _windows(packed, size, named)
+            for template in TEMPLATES:
+                h, good = _windows(packed, size, template)
                 at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)] & good)
                 if len(at):
                     lo = np.searchsorted(self.hashes, h[at], "left")
@@ -219,7 +228,7 @@ def instances(p: np.ndarray, a: np.ndarray, part: np.ndarray, n: int) -> list[np
     seen = set()
     for i in part.tolist():
         here = int(p[i]), int(a[i])
-        if here in seen:  # both templates
+        if here in seen:  # several templates
             continue
         seen.add(here)
         near = [c for c in near if a[i] - a[c[-1]] <= n]

@@ -89,6 +89,15 @@ def test_instances_of_an_item_are_judged_by_themselves():
     assert leaks(f"{one} {two}") == leaks(f"{ITEM} {one}") == leaks(" ".join([one, two, ITEM.replace("12", "77")] * 20)) == [1]
 
 
+@pytest.mark.parametrize("item", ["Solve 3x + 5 = 20", "Compute 12*15 - 3^2", "2, 4, 8, 16, 32, 64, 128, 256", "7 kg 9 kg 11 kg 13 kg"])
+def test_items_dense_in_numbers_are_found_verbatim(item):
+    bench = decontaminate.Benchmark.build([(1, decontaminate.template_tokens(item))])
+    find = lambda text: [x.item for x in decontaminate.find_leaks(decontaminate.template_tokens(text), bench, 0.5, 13, 0.8)]
+    assert find(f"some words before {item} and after") == [1] and find("other numbers 1, 3, 5, 6, 7, 9 and 10 kg 12 kg") == []
+    packed, starts = decontaminate.chunk_tokens([f"before {item} after", "nothing"])
+    assert bench.touched(packed, starts).tolist() == [0]
+
+
 def test_verbatim_items_are_found(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
