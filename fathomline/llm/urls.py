@@ -91,8 +91,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """``(page_id, host, path, rule, verdict, trust, distrust)``: one row per input row.
 
     Without a rule the verdict is ``block`` where distrust makes up more than
-    ``threshold`` of the host's trust and distrust (rounded to nine digits), else
-    ``allow``; so a host that neither walk reaches is allowed, and ties are allowed.
+    ``threshold`` of the host's trust and distrust (a share rounded to nine digits),
+    else ``allow``; both masses are rounded to nine digits in the result only; so a host that neither walk reaches is allowed, and ties are allowed.
     Null and malformed urls have an empty host and path and are allowed; null pages
     have no links; repeated rows count once each; an empty table gives an empty one;
     other columns are ignored.
@@ -104,10 +104,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     good, bad = hosts.agg(F.sum("good"), F.sum("bad")).first()
     seeds = hosts.select("host", (F.col("good") / F.lit(good or 1.0)).alias("good"), (F.col("bad") / F.lit(bad or 1.0)).alias("bad"))
     edges = link_edges(pages, url, html).unionByName(parent_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    ranks = propagate(scratch.save(edges), seeds, scratch, rounds=rounds).select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    ranks = propagate(scratch.save(edges), seeds, scratch, rounds=rounds)
     judged = own.join(ranks, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
-    host_says = F.when(F.col("distrust") > F.lit(threshold) * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
-    return judged.select(F.col("page_id").alias(page_id), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", host_says).alias("verdict"), "trust", "distrust")
+    both = F.col("trust") + F.col("distrust")
+    # The share is rounded, not the masses: those of a host shrink as the corpus grows.
+    host_says = F.when((both > 0) & (F.round(F.col("distrust") / F.when(both > 0, both), 9) > F.lit(threshold)), "block").otherwise("allow")
+    return judged.select(F.col("page_id").alias(page_id), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", host_says).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
 def judge_urls_sql(rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, rounds: int = 10, damping: float = 0.85) -> str:

@@ -53,6 +53,14 @@ def test_links_carry_trust_and_distrust(spark):
     assert got[6]["verdict"] == "allow" and got[6]["trust"] == 0
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_corpus(spark):
+    far = spark.range(1000).select(F.concat(F.lit("http://s"), F.col("id"), F.lit(".biz/")).alias("url"), F.lit('<a href="http://bad.net/">').alias("html"))
+    many = spark.range(400_000).select(F.lit("http://worse.net/").alias("url"), F.lit("").alias("html"))
+    pages = far.unionByName(many).unionByName(spark.createDataFrame([("http://bad.net/", "")], "url string, html string")).withColumn("page_id", F.monotonically_increasing_id())
+    got = urls.judge_urls(pages).where("host like 's%.biz'").select("verdict", "distrust").distinct().collect()
+    assert [tuple(r) for r in got] == [("block", 0.0)]
+
+
 @pytest.mark.parametrize("host, path, want", [("example.net", "/en/x", "example.net/en/"), ("a.example.net", "/fr/", "net/"), ("anexample.net", "/en/", "net/"), ("x.net", "", None), ("b.org", "/fr/", "org/fr/"), ("example.com", "/de", None), ("example.com", "/de/x", "example.com/de/")])
 def test_longest_rule(spark, host, path, want):
     got = spark.range(1).select(urls.fitting_rule(F.lit(host), F.lit(path)).alias("r")).first()["r"]
