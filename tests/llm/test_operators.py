@@ -214,17 +214,19 @@ def test_chunk_pattern_probe():
 # --- 5 ---
 
 
-def brute_lines(docs, t):
+def brute_lines(docs, t, long_words=50):
     seen, out = set(), {}
     for i, text in sorted(docs.items()):
         lines = text.split("\n")
         own = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
         keys = [lines[k].strip(" \t\r") for k in own]
         gone = set()
-        for j in range(len(own) - t + 1):
-            window = tuple(keys[j : j + t])
+        windows = [(j, t, tuple(keys[j : j + t])) for j in range(len(own) - t + 1)]
+        windows += [(j, 1, ("long", x)) for j, x in enumerate(keys) if long_words and len([y for y in re.split("[ \t]+", x) if y]) >= long_words]
+        windows += [(0, len(own), ("whole", *keys))] * (0 < len(own) < t)
+        for j, n, window in windows:
             if window in seen:
-                gone |= set(own[j : j + t])
+                gone |= set(own[j : j + n])
             seen.add(window)
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
@@ -233,10 +235,27 @@ def brute_lines(docs, t):
 @pytest.mark.parametrize("k, w", [(2, 2), (1, 3), (1, 1), (3, 4)])
 def test_line_runs_equal_brute_force(spark, k, w):
     rng = random.Random(k * 10 + w)
-    docs = {i: "\n".join(rng.choice(["a", "b", " c ", "", "d", "e\r", "f"]) for _ in range(rng.randrange(25))) for i in range(60)}
+    long = [" ".join(rng.choice("xyz") for _ in range(n)) for n in (4, 5, 6)]
+    docs = {i: "\n".join(rng.choice(["a", "b", " c ", "", "d", "e\r", "f", *long]) for _ in range(rng.randrange(25))) for i in range(80)}
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table, k=k, w=w).collect()}
-    assert got == brute_lines(docs, k + w - 1)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(table, k=k, w=w, long_words=5).collect()}
+    assert got == brute_lines(docs, k + w - 1, 5)
+
+
+def test_only_places_of_fingerprints_are_written():
+    lines = np.random.default_rng(5).integers(0, 1 << 62, 1000).astype(np.uint64)
+    fp, at, chosen = linededup.winnow(lines, 2, 4)
+    assert len(at) == len(set(at.tolist())) < 600  # of 996 windows
+    windows = sorted(p - i for p, c in zip(at.tolist(), chosen.tolist(), strict=True) for i in range(4) if c >> i & 1)
+    assert windows == list(range(996))  # each window has one place, inside it
+
+
+def test_long_lines_and_short_documents(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"x\n{long}\ny"), (2, f"a\nb\nc\nd\n{long}\ne"), (3, "one line"), (4, "one line"), (5, "two\n\nlines "), (6, "two\nlines"), (7, "two\nlines\nmore"), (8, long[:-4])]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == ("a\nb\nc\nd\ne", 1) and got[4] == ("", 1) and got[6] == ("", 2)
+    assert all(got[i] == (t, 0) for i, t in rows if i in (1, 3, 5, 7, 8))
 
 
 # --- 6 ---
