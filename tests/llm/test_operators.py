@@ -355,7 +355,8 @@ def test_buckets_span_all_links(seed):
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(7))) & (1 << 64) - 1 for b in base for _ in range(25)})
     want = brute_components(fps, 4)
-    links = simhash.link_bucket(np.array(fps, np.uint64), 4)
+    fps_ = np.array(fps, np.uint64)
+    links = simhash.link_bucket(fps_, 4, simhash.pivot_distances(fps_))
     assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in links)
     groups = defaultdict(set)
     for f, root in want.items():
@@ -391,6 +392,27 @@ def test_groups_equal_brute_force(spark, monkeypatch, cell):
     assert pairs == {frozenset((a, b)) for a in fps for b in fps if find(back[a]) == find(back[b])}
 
 
+def test_pivot_distances_are_those_of_the_jvm(spark):
+    fps = [0, 1, (1 << 64) - 1, 0x123456789ABCDEF0, *simhash.REFERENCES.tolist()]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = [list(r[0]) for r in spark.createDataFrame([(f,) for f in signed], "fp long").coalesce(1).select(simhash.coordinates("fp")).collect()]
+    assert got == simhash.pivot_distances(np.array(fps, np.uint64)).tolist()
+    assert [simhash.slices(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [6, 6, 7, 8]
+
+
+def test_near_copies_keep_unlike_texts(spark):
+    prose = "the quick brown fox jumps over the lazy dog while seven wizards brew potions in the tower of glass by night".split()
+    other = [w[::-1] for w in prose]
+    a, b, c = " ".join(prose), " ".join(other), " ".join(prose[::-1])
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, c.upper()), (6, c), (5, "another text under the same id that is not like the one before at all"), (7, None), (8, ""), (9, "x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, r int")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()), key=repr)
+    fives = [t for i, t in got if i == 5]
+    assert len(got) == 6 and [t for i, t in got if i is None] == sorted([a, b]) and len(fives) == 2 and {t.lower() for t in fives} == {c, rows[6][1]}
+    assert (7, None) in got and (9, "x") in got and not {6, 8} & {i for i, _ in got}
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark, "t")).collect()}
