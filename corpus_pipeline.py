@@ -11,7 +11,7 @@ from fathomline.llm.decontaminate import drop_contaminated
 from fathomline.llm.langid import UNKNOWN, fit_filters, identify
 from fathomline.llm.linededup import dedup_lines
 from fathomline.llm.scratch import Scratch
-from fathomline.llm.simhash import simhash_groups
+from fathomline.llm.simhash import drop_near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this score a text has too few n-grams of any known language.
@@ -32,9 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
-    first = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select(COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each SimHash group, the one with the smallest id; unlike texts stay whatever their ids."""
+    return drop_near_copies(docs.select(COLUMNS))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
