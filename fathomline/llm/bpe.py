@@ -7,8 +7,8 @@ nondeterministic transducer: its configurations are the token written last and a
 place in the trie of all tokens, and a token may be written where it is compatible
 with the one before. Sets of configurations are made into states of a
 deterministic machine only when an input reaches them. Tokens on which all
-configurations agree are emitted, so output lags the input by a block and one
-longest token at most.
+configurations agree are emitted, so output lags the input by a block and the
+lengths of two longest tokens or so.
 
 Decoding streams: an incremental UTF-8 machine, composed over whole tokens, tells
 after which token the bytes end on a character.
@@ -34,12 +34,15 @@ from fathomline.shipping import ship
 ROOT = 0
 NONE = -1
 PLACE = (1 << 24) - 1
-#: What a worker keeps of states, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
-MOST_STATES, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 150_000, 250_000, 240_000, 40
+#: What a worker keeps of states, steps of configurations, pair verdicts, pieces and chunks, and the longest of the latter; a full table is emptied and refilled.
+MOST_STATES, MOST_STEPS, MOST_VERDICTS, MOST_PIECES, LONGEST_KEPT = 150_000, 300_000, 50_000, 200_000, 40
 #: Places of the trie with at most so many tokens below are dropped when none of these fits.
 FEW = 1
-#: Bytes read before tokens are emitted within one piece.
-BLOCK = 4096
+#: Bytes read between two looks at what can be emitted.
+BLOCK = 256
+#: A move is one integer: the next state above, the token written in so many bits below.
+TOKEN_BITS = 24
+TOKEN = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -85,12 +88,13 @@ class Transducer:
         self.below = [tuple(x) if len(x) <= FEW else None for x in below]
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.verdicts: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
         self.start = self._state((ROOT,))
 
     def _state(self, state: tuple) -> int:
@@ -143,79 +147,90 @@ class Transducer:
             else:
                 before, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        after, written = [], NONE
-        children, compatible = self.children, self.compatible
+    def _step(self, config: int, byte: int) -> int:
+        """One configuration's part of a move: the configuration after it (0: none) above, the token written plus one (0: none) below."""
+        to = self.children[config & PLACE].get(byte)
+        if to is None:
+            return 0
+        last, token, after = (config >> 24) - 1, self.token_at[to], 0
+        if token >= 0 and last >= 0 and not self.compatible(last, token):
+            token = NONE
+        if self.children[to]:
+            few = self.below[to]
+            if last < 0 or few is None or any(self.compatible(last, x) for x in few):
+                after = last + 1 << 24 | to
+        return after << TOKEN_BITS | token + 1
+
+    def _move(self, state: int, byte: int) -> int:
+        after, written, steps = [], 0, self.steps
         for config in self.states[state >> 8]:
-            to = children[config & PLACE].get(byte)
-            if to is None:
-                continue
-            last = (config >> 24) - 1
-            token = self.token_at[to]
-            if written < 0 <= token and (last < 0 or compatible(last, token)):
-                written = token
-            if children[to]:
-                few = self.below[to]
-                if last < 0 or few is None or any(compatible(last, x) for x in few):
-                    after.append(last + 1 << 24 | to)
-        if written < 0:
+            step = steps.get(config << 8 | byte)
+            if step is None:
+                if len(steps) > MOST_STEPS:
+                    steps.clear()
+                step = steps[config << 8 | byte] = self._step(config, byte)
+            if step:
+                if not written:
+                    written = step & TOKEN
+                if step > TOKEN:
+                    after.append(step >> TOKEN_BITS)
+        if not written:
             raise ValueError("the vocabulary lacks a byte")
-        after.append(written + 1 << 24 | ROOT)
-        return self._state(tuple(after)), written
+        after.append(written << 24 | ROOT)
+        return self._state(tuple(after)) << TOKEN_BITS | written - 1
+
+    def _read(self, state: int, part: bytes, written: list[int]) -> int:
+        """Follow the moves of ``part``, making those that are missing; the state after it."""
+        append, get = written.append, self.moves.get
+        for b in part:
+            move = get(state | b)
+            if move is None:
+                if len(self.states) > MOST_STATES:
+                    now = self.states[state >> 8]
+                    self._reset()
+                    state, get = self._state(now), self.moves.get
+                move = self.moves[state | b] = self._move(state, b)
+            append(move & TOKEN)
+            state = move >> TOKEN_BITS
+        return state
 
     def _path(self, written: list[int], end: int) -> list[int]:
         """Tokens of the first ``end`` bytes, from the token that ends at each of them."""
-        out = []
+        out, length = [], self.length
         while end > 0:
             token = written[end - 1]
             out.append(token)
-            end -= self.length[token]
-        return out[::-1]
+            end -= length[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(piece) > BLOCK:
-            return self._encode_long(piece)
-        written: list[int] = []
-        self._read(self.start, piece, written)
-        return self._path(written, len(written))
-
-    def _read(self, state: int, part: bytes, written: list[int]) -> int:
-        """Follow the moves of ``part``, making those that are missing; the state after it."""
-        append, begun = written.append, len(written)
-        while True:
-            at = len(written) - begun
-            moves = self.moves
-            try:
-                for b in part[at:] if at else part:
-                    state, token = moves[state | b]
-                    append(token)
-                return state
-            except KeyError:
-                byte = part[len(written) - begun]
-                if len(self.states) > MOST_STATES:
-                    now = self.states[state >> 8]
-                    self._reset()
-                    state = self._state(now)
-                self.moves[state | byte] = self._move(state, byte)
-
-    def _encode_long(self, piece: bytes) -> list[int]:
+        """Ids of one piece; what no further byte can change is emitted after each block."""
         out: list[int] = []
         written: list[int] = []
-        state = self.start
-        for at in range(0, len(piece), BLOCK):
+        state = self._read(self.start, piece[:BLOCK], written)
+        for at in range(BLOCK, len(piece), BLOCK):
+            out += self._emit(written)
             state = self._read(state, piece[at : at + BLOCK], written)
-            if len(written) > self.longest:
-                out += self._emit(written)
         return out + self._path(written, len(written))
 
     def _emit(self, written: list[int]) -> list[int]:
-        """Take out the tokens on which all ends within the longest token agree: no further byte can change them."""
-        paths = [self._path(written, end) for end in range(len(written) - self.longest + 1, len(written) + 1)]
-        same = 0
-        while same < min(map(len, paths)) and all(p[same] == paths[0][same] for p in paths):
-            same += 1
-        out = paths[0][:same]
-        del written[: sum(self.length[t] for t in out)]
+        """Take out the tokens up to the last place where all encodings that can still go on meet.
+
+        The next token begins less than one longest token before the end, at any of
+        the places there. The latest place is replaced by the one before its token
+        until one place is left.
+        """
+        at = len(written)
+        open_places = {*range(max(0, at - self.longest + 1), at + 1)}
+        while len(open_places) > 1:
+            if at in open_places:
+                open_places.remove(at)
+                open_places.add(at - self.length[written[at - 1]])
+            at -= 1
+        end = open_places.pop()
+        out = self._path(written, end)
+        del written[:end]
         return out
 
 
@@ -262,7 +277,7 @@ class Encoder:
         self.machine = machine = Transducer(ranks)
         #: Ids of pieces, and of what stands between single spaces with the space before it or without.
         self.pieces = Kept(lambda piece: _packed(machine.encode(piece.encode())), MOST_PIECES)
-        self.first, self.later = Kept(lambda chunk: self._chunk("", chunk), MOST_PIECES // 16), Kept(lambda chunk: self._chunk(" ", chunk), MOST_PIECES)
+        self.first, self.later = Kept(lambda chunk: self._chunk("", chunk), MOST_PIECES // 16), Kept(lambda chunk: self._chunk(" ", chunk), 2 * MOST_PIECES)
         #: Whether the pattern cuts at single spaces, as probes of each kind show.
         self.cuts = all(self.find(f"{a} {b}") == [*self.find(a), *self.find(f" {b}")] for a in ("a", "1", "!", "'", "_", "é", "'s", "a!") for b in ("a", "1", "!", "'s", "_", "é"))
         #: Whether letters alone, with a space before them or without, are one piece.
@@ -271,8 +286,8 @@ class Encoder:
     def _chunk(self, before: str, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Unsafe
-        if self.letters and chunk.isalpha():
-            return self.pieces[before + chunk]
+        if self.letters and chunk.isalpha():  # one piece, kept as a chunk
+            return _packed(self.machine.encode((before + chunk).encode()))
         return b"".join(map(self.pieces.__getitem__, self.find(before + chunk)))
 
     def encode(self, text: str) -> bytes:
