@@ -189,14 +189,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", do
     Learned from about ``per_class`` labelled rows of each class that are not held
     out. Null and empty texts are scored as the text without words; without any
     labelled row every score is 0.5; very long texts are read whole; repeated rows,
-    null ids and empty tables pass through; other columns are ignored.
+    null ids and empty tables pass through; other columns are ignored. The fit does
+    not depend on the order or place of rows; scores have six digits.
     """
     model = fit_in_one_task(labelled_sample(docs, labels, label, doc_id, text, modulus, held_out, per_class), fit_network)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 0.8 MB of word vectors
 
     def setup():
         own = shared.value
-        return lambda texts: {"score": pa.array(own.scores(texts) if own else np.full(len(texts), 0.5))}
+        return lambda texts: {"score": pa.array(np.round(own.scores(texts), 6) if own else np.full(len(texts), 0.5))}
 
     scored = map_texts(docs, [doc_id], text, "score double", None, setup, "quality")
     return scored.select(F.col(f"`{doc_id}`"), F.coalesce(crc_rest(doc_id, modulus) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
