@@ -18,10 +18,12 @@ from fathomline.llm.scratch import Scratch
 
 #: (action, host, path): a rule fits the host and its subdomains below the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Rounds of both walks. What is still under way after them is less than damping ** rounds of all mass (0.85 ** 20: 4 %).
+ROUNDS = 20
 #: Rules are written into the plan, so their number is bounded; none is dropped.
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +54,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def link_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     """``(src, dst, weight)``: links between different hosts, counted before they are shuffled."""
     links = pages.select(host_of(F.col(f"`{url}`")).alias("src"), F.explode(F.regexp_extract_all(F.col(f"`{html}`"), F.lit(LINK), 1)).alias("link"))
-    between = links.select("src", host_of(F.col("link")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    whole = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))  # of the page's own scheme
+    between = links.select("src", host_of(whole).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return between.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -64,13 +67,14 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
     return parents.select(F.col("host").alias("src"), F.col("parent").alias("dst"), one).unionByName(parents.select(F.col("parent").alias("src"), F.col("host").alias("dst"), one))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = ROUNDS) -> DataFrame:
     """``(host, trust, distrust)`` after ``rounds`` of both propagations.
 
     ``edges(src, dst, weight)`` has one row per edge, ``seeds(host, good, bad)`` one
     row per host with its starting masses (each summing to one, or all zero). Both
     walks share one join and one map-side combined sum a round; rounds are written
-    tables. What reaches a host without edges onward is not passed on.
+    tables. What reaches a host without edges onward is not passed on. Each mass lies
+    below its limit, and all that is missing sums to less than ``damping ** rounds``.
     """
     onward = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("all")), "src").select(F.col("src").alias("from"), F.col("dst").alias("to"), (F.col("weight") / F.col("all")).alias("share"), F.lit(True).alias("forward"))
     back = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("all")), "dst").select(F.col("dst").alias("from"), F.col("src").alias("to"), (F.col("weight") / F.col("all")).alias("share"), F.lit(False).alias("forward"))
@@ -87,7 +91,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     return now
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, rounds: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)``: one row per input row.
 
     Without a rule the verdict is ``block`` where distrust makes up more than
@@ -112,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     return judged.select(F.col("page_id").alias(page_id), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", host_says).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
-def judge_urls_sql(rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, rounds: int = 10, damping: float = 0.85) -> str:
+def judge_urls_sql(rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, rounds: int = ROUNDS, damping: float = 0.85) -> str:
     """The same in DuckDB SQL, with the rounds written out."""
     rest = "substr(url, strpos(url, '://') + 3)"
     low = f"'{UPPER}', '{LOWER}'"
@@ -130,7 +134,8 @@ WITH cut AS (SELECT page_id, html,
 own AS MATERIALIZED (SELECT page_id, host, path, html, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in fit)} END AS rule, CASE {' '.join(f"WHEN {c} THEN '{a}'" for c, _, a in fit)} END AS action FROM cut),
 hosts AS MATERIALIZED (SELECT host, count(*) FILTER (action = 'allow')::DOUBLE AS good, count(*) FILTER (action = 'block')::DOUBLE AS bad FROM own WHERE host <> '' GROUP BY host),
 seeds AS MATERIALIZED (SELECT host, good / greatest(1e0, (SELECT sum(good) FROM hosts)) AS good, bad / greatest(1e0, (SELECT sum(bad) FROM hosts)) AS bad FROM hosts),
-links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM own),
+found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM own),
+links AS (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM found),
 far AS (SELECT src, translate(regexp_extract(substr(link, strpos(link, '://') + 3), '^([^/?#]*)', 1), {low}) AS dst FROM links),
 labels AS (SELECT host, string_split(host, '.') AS label FROM hosts),
 parents AS (SELECT DISTINCT host, parent FROM (SELECT host, array_to_string(label[i:], '.') AS parent FROM (SELECT host, label, unnest(range(2, greatest(2, len(label)) + 1)) AS i FROM labels) x) y WHERE contains(parent, '.')),
@@ -141,7 +146,7 @@ steps AS MATERIALIZED (SELECT src AS "from", dst AS "to", weight / sum(weight) O
   UNION ALL SELECT dst, src, weight / sum(weight) OVER (PARTITION BY dst), false FROM edges),
 r0 AS MATERIALIZED (SELECT host, good AS trust, bad AS distrust FROM seeds),
 {", ".join(walk)},
-ranks AS (SELECT host, round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM r{rounds})
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN distrust > {threshold!r}::DOUBLE * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust
+ranks AS (SELECT host, trust, distrust FROM r{rounds})
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN trust + distrust > 0 AND round(distrust / (trust + distrust), 9) > {threshold!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 9) AS trust, round(distrust, 9) AS distrust
 FROM (SELECT page_id, own.host, path, rule, action, coalesce(trust, 0e0) AS trust, coalesce(distrust, 0e0) AS distrust FROM own LEFT JOIN ranks USING (host)) x
 """
