@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +29,15 @@ def worker_table(operator: str, table: dict) -> dict:
 
 
 def only_tables_of(operator: str) -> None:
-    """Empty what other operators left in this worker; workers outlive a stage."""
-    for name, table in _tables.items():
-        if name != operator:
-            table.clear()
+    """Empty what other operators left in this worker, and give its memory back; workers outlive a stage."""
+    left = [table for name, table in _tables.items() if name != operator and table]
+    for table in left:
+        table.clear()
+    if left:
+        gc.collect()  # an encoder's tables refer to each other
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -50,13 +58,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text", mos
             at = end
 
 
-def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[list[str]], dict[str, object]], setup: Callable[[], Callable] | None = None, operator: str = "") -> DataFrame:
+def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Callable[[list[str]], dict[str, object]], setup: Callable[[], Callable] | None = None, operator: str = "", most: int = CHUNK_BYTES) -> DataFrame:
     """``keys`` plus the columns that ``work(texts)`` returns for each chunk of rows.
 
     ``work`` gets a list of texts (null is '') and returns one sequence per column
     of ``schema`` beyond the keys. With ``setup`` the callable is made once per task.
     Tables of operators other than ``operator`` are emptied in the worker first.
-    Input columns with other names never reach Python.
+    A chunk has at most ``most`` bytes of text, or one row. Input columns with other
+    names never reach Python.
     """
     ship(df.sparkSession)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -67,7 +76,7 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_tables_of(operator)
         fn = setup() if setup else work
-        for part, texts in text_chunks(batches, "_t"):
+        for part, texts in text_chunks(batches, "_t", most):
             made = fn(texts)
             cols = [part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, *[x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in made.values()]], names=[*names, *made])

@@ -10,6 +10,7 @@ language with the largest share decides.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.arrow import map_texts, only_tables_of, text_chunks
 from fathomline.llm.sample import crc_rest, hash_sample
+from fathomline.llm.scratch import Scratch
 from fathomline.shipping import ship
 
 UNKNOWN = "und"
 MOST_LANGUAGES = 64
+#: Text bytes handled at once: each becomes some hundred bytes of hashes and slots.
+CHUNK = 1 << 18
 #: Letters enter n-grams; everything else counts as one space.
 _SPACE = 32
 
@@ -141,40 +145,39 @@ class LanguageFilters:
         return names, np.where(has, np.clip(score, 0, 1), 0.0)
 
 
-def fit_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 3000, sizes: tuple[int, ...] = (2, 3, 4), at_least: float = 2e-5, most_grams: int = 60_000, slots_log2: int = 20) -> LanguageFilters:
+def fit_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = 3000, sizes: tuple[int, ...] = (2, 3, 4), at_least: float = 2e-5, slots_log2: int = 20) -> LanguageFilters:
     """Filters from labelled rows; rows without a language or text teach nothing.
 
-    The sample is bounded to about ``per_language`` rows of each language. Its
-    n-grams are counted where the rows are; an n-gram belongs to a language when it
-    makes up ``at_least`` of its n-grams and is not at least eight times as
-    frequent elsewhere; at most ``most_grams`` per language reach the driver.
+    The sample is bounded to about ``per_language`` distinct texts of each language;
+    how often a text is repeated does not count. Its n-grams are counted once, where the rows are; an
+    n-gram belongs to a language when it makes up ``at_least`` of its n-grams and is
+    not at least eight times as frequent elsewhere. So a language has at most
+    ``1 / at_least`` of them (50,000), which bounds what reaches the driver.
     """
     ship(labelled.sparkSession)
-    known = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    keyed = known.withColumn("key", F.xxhash64("text"))
-    sampled = hash_sample(keyed, "key", "lang", per_language)
+    scratch = Scratch(labelled.sparkSession, "language")
+    known = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    sampled = hash_sample(known.withColumn("key", F.xxhash64("text")), "key", "lang", per_language).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def count(batches):
         only_tables_of("language")
-        for part, texts in text_chunks(batches, "text"):
+        for part, texts in text_chunks(batches, "text", CHUNK):
             langs = part.column(0).to_pylist()
             for language in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == language]
                 hashes, n = np.unique(ngram_hashes(own, sizes)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(hashes)), pa.array(hashes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = sampled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = scratch.save(sampled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    grams: dict[str, np.ndarray] = {}
-    wide = counts.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(sorted(totals))]) if totals else None
-    for i, language in enumerate(sorted(totals)):
-        here = F.col(f"n{i}") / F.lit(float(totals[language]))
-        there = [F.col(f"n{j}") / F.lit(float(totals[x])) for j, x in enumerate(sorted(totals)) if j != i]
-        fit = wide.where(here >= at_least)
-        if there:
-            fit = fit.where(here * 8 >= (F.greatest(*there) if len(there) > 1 else there[0]))
-        rows = fit.select("gram", here.alias("f")).orderBy(F.desc("f"), "gram").limit(most_grams).select("gram").toArrow()
-        grams[language] = rows.column(0).to_numpy().view(np.uint64)
+    grams = {language: np.empty(0, np.uint64) for language in totals}
+    if totals:
+        total = F.element_at(F.create_map(*chain.from_iterable((F.lit(x), F.lit(float(n))) for x, n in sorted(totals.items()))), F.col("lang"))
+        shares = counts.select("gram", "lang", (F.col("n") / total).alias("f")).where(F.col("f") >= at_least)
+        best = shares.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("lang", "f")).alias("all"))
+        fit = best.select("gram", "top", F.explode("all").alias("x")).where(F.col("x.f") * 8 >= F.col("top")).select("x.lang", "gram").toArrow()
+        names, values = fit.column(0).to_numpy(zero_copy_only=False), fit.column(1).to_numpy().view(np.uint64)
+        grams = {language: values[names == language] for language in totals}
     return LanguageFilters.fit(grams, slots_log2, sizes)
 
 
@@ -196,7 +199,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, doc_id: str = "doc_id",
 
         return work
 
-    return map_texts(docs, [doc_id, *keep], text, "lang_pred string, score double", None, setup)
+    return map_texts(docs, [doc_id, *keep], text, "lang_pred string, score double", None, setup, "language", CHUNK)
 
 
 def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
