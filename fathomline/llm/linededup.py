@@ -147,16 +147,17 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, k:
     source = docs.where(F.col(f"`{text}`").isNotNull()).select(key.alias("id"), th.alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     found = scratch.save(source.mapInArrow(_places(k, w, long_words), f"id {kind}, th long, kind long, fp long, p long, chosen long, low array<long>, high array<long>, at array<long>"))
-    # The small sides of the joins are written tables, so that the joins have plain exchanges below and hot keys can be split.
+    # The small sides of the joins are written tables, so that the joins have plain exchanges below and hot keys can be
+    # split. They are merged at every size: none of them has a bound, and small inputs show the plan of large ones.
     twice = scratch.save(found.groupBy("fp").count().where("count > 1").select("fp"))
-    near = scratch.save(found.join(twice, "fp", "left_semi"))
+    near = scratch.save(found.join(twice.hint("merge"), "fp", "left_semi"))
     t = w + k - 1
     # The window of a place that was chosen for it `i` lines ahead begins w - 1 - i lines into its surroundings.
     options = F.array(*[F.when((F.col("kind") == RUN) & (F.col("chosen").bitwiseAND(F.lit(1 << i)) != 0), F.struct(F.slice("low", w - i, t).alias("low"), F.slice("high", w - i, t).alias("high"))) for i in range(w)], F.when(F.col("kind") != RUN, F.struct("low", "high")))
     met = near.select("*", F.explode(F.filter(options, lambda x: x.isNotNull())).alias("window")).select("*", F.xxhash64("kind", "window.low").alias("a"), F.xxhash64("window.high", "kind").alias("b")).drop("window")
     here = F.struct("id", "th", "p")
     first = scratch.save(met.groupBy("a", "b").agg(F.min(F.struct("id", "th", "p", "low", "high")).alias("other"), F.max(here).alias("last")).where(~F.struct("other.id", "other.th", "other.p").eqNullSafe(F.col("last"))).select("a", "b", "other"))
-    pairs = met.join(first, ["a", "b"]).where(~here.eqNullSafe(F.struct("other.id", "other.th", "other.p")))
+    pairs = met.join(first.hint("merge"), ["a", "b"]).where(~here.eqNullSafe(F.struct("other.id", "other.th", "other.p")))
     gone = pairs.select("id", "th", "at", F.explode(_matched(k, w)).alias("j")).select("id", "th", F.get("at", F.col("j")).cast("int").alias("line"))
     lists = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     begins = F.filter("lines", lambda x, i: (i == 0) | (F.get("lines", i - 1) != x - 1))
@@ -184,7 +185,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     maybe, clean = sift(docs.select(*[F.col(f"`{c}`") for c in rest]), doc_id, text, cuts, scratch)
     none = clean.select("r", *[F.lit(None).cast(cuts.schema[c].dataType).alias(c) for c in ("starts", "ends", "n_removed")])
     own = cuts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "starts", "ends", "n_removed")
-    some = maybe.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("r", "starts", "ends", "n_removed")
+    some = maybe.join(own.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("r", "starts", "ends", "n_removed")
     value = F.col("r").getField(text)
     lines = F.split(value, "\n", -1)
     begins, stops = F.concat(F.array(F.lit(0)), "ends"), F.concat("starts", F.array(F.size(lines)))
