@@ -19,7 +19,8 @@ SLOTS = 1 << 23
 
 def row_key(doc_id: str, text: str) -> tuple[Column, Column]:
     """What tells documents apart: the id (may be null) and a hash of the text (0 without text)."""
-    return F.col(f"`{doc_id}`"), F.coalesce(F.xxhash64(F.col(f"`{text}`").cast("string")), F.lit(0))
+    value = F.col(f"`{text}`").cast("string")
+    return F.col(f"`{doc_id}`"), F.when(value.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(value))
 
 
 def sift(docs: DataFrame, doc_id: str, text: str, listed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -34,3 +35,17 @@ def sift(docs: DataFrame, doc_id: str, text: str, listed: DataFrame, scratch: Sc
     rows = docs.select(key.alias("id"), th.alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")).withColumn("s", slot)
     met = rows.join(F.broadcast(words), F.shiftright("s", 6) == F.col("w"), "left").withColumn("hit", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
     return met.where("hit").select("id", "th", "r"), met.where("not hit").select("id", "th", "r")
+
+
+def one_per_id(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """``(id, text)`` of the rows with both, one for each id: that with the least text hash. Ids with one row are not shuffled."""
+    key, th = row_key(doc_id, text)
+    known = docs.where(key.isNotNull() & F.col(f"`{text}`").isNotNull()).select(key.alias("_i"), F.col(f"`{text}`").cast("string").alias("_t"))
+    several = scratch.save(known.groupBy("_i").agg(F.count("*").alias("n"), F.min(F.xxhash64("_t")).alias("least")).where("n > 1").select("_i", "least"))
+    if not several.take(1):
+        return known.select(F.col("_i").alias("id"), F.col("_t").alias("text"))
+    named = several.select(F.col("_i").alias("id"), F.lit(0).cast("long").alias("th"), "least")
+    maybe, alone = sift(known.withColumn("_z", F.lit(None).cast("string")), "_i", "_z", named.select("id", "th"), scratch)
+    joined = maybe.select("id", F.col("r._t").alias("text")).join(named.select(F.col("id").alias("_id"), "least"), F.col("id") == F.col("_id"), "left")
+    kept = joined.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).groupBy("id").agg(F.min("text").alias("text"))
+    return alone.select("id", F.col("r._t").alias("text")).unionByName(kept)

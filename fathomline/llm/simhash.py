@@ -266,11 +266,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = scratch.save(own.join(of.select("fp", "component"), "fp").select("id", "th", "component"))
     # A written table, so that a hot group can be split in the join below.
     first = scratch.save(named.groupBy("component").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).where("n > 1").select("component", "first"))
-    several = scratch.save(named.join(first, "component").select("id", "th", F.struct("id", "th").eqNullSafe(F.struct("first.id", "first.th")).alias("stays")))
+    several = scratch.save(named.join(first.hint("merge"), "component").select("id", "th", F.struct("id", "th").eqNullSafe(F.struct("first.id", "first.th")).alias("stays")))
     # Rows of groups of one pass by. Of the rest those go that are not first; repeated rows that are first shrink to one.
     maybe, alone = sift(docs, doc_id, text, several.select("id", "th"), scratch)
     listed = several.groupBy("id", "th").agg(F.max("stays").alias("stays")).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "stays")
-    joined = maybe.join(listed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    joined = maybe.join(listed.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     once = joined.where("stays").groupBy("id", "th").agg(F.first("r").alias("r")).select("r")
     rest = joined.where("stays is null").select("r").unionByName(alone.select("r")).unionByName(once)
     return rest.select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -554,6 +554,40 @@ def test_passages_whose_seeds_are_first_met_elsewhere(spark):
     assert found_passages(spark, docs) == [(4, 3, 0, 60), (8, 7, 60, 100)]
 
 
+def test_passages_scattered_over_earlier_documents(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, want = {}, set()
+    for i in range(0, 200, 10):  # three documents hold 38 words each of a passage of 90 that two others hold whole
+        own = text(90)
+        docs |= {i + j: text(20) + own[a : a + 38] + text(20) for j, a in enumerate((0, 26, 52))}
+        docs |= {i + 3: text(15) + own + text(9), i + 4: text(33) + own}
+        want.add((i + 4, i + 3, 33, 123))
+    assert want <= set(found_passages(spark, docs))
+
+
+def test_passages_repeated_in_one_document(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    own, near = text(120), text(90)
+    changed = [w if i % 12 != 11 else "else" for i, w in enumerate(near)]
+    docs = {1: text(10) + own + text(50) + own + text(5), 2: near + text(60) + changed, 3: text(30) + own[:39] + text(20) + own[:39]}
+    got = found_passages(spark, docs)
+    assert (1, 1, 180, 300) in got and [x[:2] for x in got].count((2, 2)) == 1 and all(x[1] <= x[0] for x in got) and len(got) == 2
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(10)
+    one, two = " ".join(f"a{rng.random()}" for _ in range(80)), " ".join(f"b{rng.random()}" for _ in range(80))
+    table = spark.createDataFrame([(1, one), (1, one), (2, two), (3, one), (3, one), (4, two), (None, one), (5, None)], "doc_id long, text string")
+    got = [tuple(r)[:6] for r in passages.repeated_passages(table).collect()]
+    assert sorted(got) == [(3, 1, 0, 80, 0, 80), (4, 2, 0, 80, 0, 80)]
+    mixed = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two)], "doc_id long, text string")
+    assert len(passages.repeated_passages(mixed).collect()) == 1
+
+
 @pytest.mark.parametrize("period, n", [(1, 60), (3, 61), (7, 300), (15, 60), (20, 200)])
 def test_passages_that_repeat_a_phrase(spark, period, n):
     rng = random.Random(period)
