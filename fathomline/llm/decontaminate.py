@@ -2,13 +2,14 @@
 
 Words become template tokens: numbers, names (capitalised words) and units turn into
 typed placeholders, other words are lower-cased and stripped of punctuation. Windows
-of five tokens are hashed and joined with the windows of the benchmark items. Two
-templates are used side by side, with and without name placeholders, so both renamed
-questions and copies in other letter case are met. Windows dense in numbers and units,
-of which the placeholders would leave too little, are compared as they are, so such
-items are met where they are copied, not with other parameters. Where windows of one item crowd
-together, the slots are compared: each value of the item must stand for one value of
-the document throughout, as in a question asked again with other parameters.
+of five tokens are hashed, and those of the documents are joined with those of the
+benchmark items. Two templates are used side by side, with and without name placeholders,
+so both renamed questions and copies in other letter case are met. Windows dense in
+numbers and units, of which the placeholders would leave too little, are compared as they
+are, so such items are met where they are copied, not with other parameters; items of
+one or two tokens are met where a document consists of them. Where windows of one item
+crowd together, the slots are compared: each value of the item must stand for one value
+of the document throughout, as in a question asked again with other parameters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.arrow import only_tables_of, text_chunks, worker_table
+from fathomline.llm.scratch import Scratch
+from fathomline.llm.sieve import bit_filter, has_bit, row_key, sift
 from fathomline.shipping import ship
 
 LITERAL, NAME, NUMBER, UNIT, NOTHING, SEVERAL = range(6)
@@ -33,11 +35,12 @@ LITERAL, NAME, NUMBER, UNIT, NOTHING, SEVERAL = range(6)
 UNITS = frozenset("% $ € £ mm cm m km in ft yd mi mile miles g kg mg lb lbs oz t ton tons ml l litre litres liter liters ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents pound pounds percent degree degrees".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 TEMPLATES = UNNAMED, NAMED, VERBATIM = range(3)
+WHOLE = 3  # all tokens of a text, as they are
 SIZE, LITERALS = 5, 3  # tokens of a window, and how many of them must be no placeholder
-SHORTEST = 3  # items below so many tokens cannot be told from ordinary text and are never reported
+SHORTEST = 3  # items below so many tokens cannot be told from ordinary text; they are met as whole documents only
 MOST_WORDS = 400_000
-#: Windows of the benchmark that are broadcast at once (16 bytes each and a filter); beyond it the benchmark is taken in blocks.
-MOST_WINDOWS = 2_000_000
+#: Slots of the filter of the benchmark's windows; its size is fixed (8 MB), and what passes it is joined.
+SLOTS = 1 << 26
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _PARTS = re.compile(r"[$€£%]|[+-]?\d[\d.,:/]*|[^\W\d]+(?:['’-][^\W\d]+)*")
 _COMPOUND = re.compile(r"[\d$€£%]")
@@ -72,6 +75,8 @@ class Tokens(dict):
 
 
 _tokens = worker_table("decontaminate", Tokens())
+#: Units that stand ahead of their number.
+_AHEAD = np.array([xxhash.xxh64_intdigest(x) >> 4 for x in ("$", "€", "£", "usd", "eur")], np.uint64)
 #: Hashes of the placeholders, by kind.
 _HOLDERS = np.array([0, *[xxhash.xxh64_intdigest(f"<{k}>") for k in ("name", "number", "unit")]], np.uint64)
 
@@ -79,7 +84,8 @@ _HOLDERS = np.array([0, *[xxhash.xxh64_intdigest(f"<{k}>") for k in ("name", "nu
 def chunk_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed tokens of all texts end to end, and where each text begins (one more entry at the end).
 
-    Words without letters, digits or units are left out.
+    Words without letters, digits or units are left out; a unit counts as one after
+    a number only, a currency also ahead of it (so not the word "in").
     """
     split = [t.split() for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -97,7 +103,16 @@ def chunk_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         packed = np.concatenate([*pieces, packed[done:]])
     keep = (packed & np.uint64(7)) != NOTHING
     kept = np.r_[0, np.cumsum(keep)]
-    return packed[keep], kept[np.r_[0, np.cumsum(sizes)]]
+    packed, starts = packed[keep], kept[np.r_[0, np.cumsum(sizes)]]
+    units = np.flatnonzero((packed & np.uint64(7)) == UNIT)
+    if len(units):
+        number = np.r_[(packed & np.uint64(7)) == NUMBER, False]
+        text = np.searchsorted(starts, units, "right") - 1
+        after = number[units - 1] & (units > starts[text])
+        ahead = number[units + 1] & (units + 1 < starts[text + 1]) & np.isin(packed[units] >> np.uint64(3), _AHEAD)
+        beside = after | ahead
+        packed[units[~beside]] -= np.uint64(UNIT - LITERAL)
+    return packed, starts
 
 
 def template_tokens(text: str) -> np.ndarray:
@@ -109,17 +124,20 @@ def _windows(packed: np.ndarray, size: int, template: int) -> tuple[np.ndarray,
     """Hash of the window that begins at each token, and whether it counts in the template.
 
     A window needs enough words that are no placeholder; in the template VERBATIM
-    those count that lack them (without names as placeholders), as they are.
+    those count that lack them (without names as placeholders), as they are; in the
+    template WHOLE all.
     """
     kind = (packed & np.uint64(7)).astype(np.int8)
     held = (kind == NUMBER) | (kind == UNIT)
+    if template == WHOLE:
+        held[:] = False
     if template == NAMED:
         held |= kind == NAME
     token = packed >> np.uint64(3)
-    if template != VERBATIM:
+    if template in (UNNAMED, NAMED):
         token[held] = _HOLDERS[kind[held]]
     n = len(packed) - size + 1
-    h = np.full(n, size * 3 + template, np.uint64)
+    h = np.full(n, size * 4 + template, np.uint64)
     for i in range(size):
         h *= np.uint64(0x9FB21C651E98DF25)
         h += token[i : i + n]
@@ -128,81 +146,29 @@ def _windows(packed: np.ndarray, size: int, template: int) -> tuple[np.ndarray,
     free = np.zeros(len(packed) + 1, np.int32)
     np.cumsum(~held, out=free[1:])
     enough = free[size:] - free[:-size] >= min(LITERALS, size - 1)
-    return h, ~enough if template == VERBATIM else enough
-
-
-@dataclass
-class Benchmark:
-    """Sorted window hashes with item and place, the items' tokens, and a filter of the hashes."""
-
-    ids: list[object]
-    tokens: list[np.ndarray]
-    hashes: np.ndarray
-    items: np.ndarray
-    places: np.ndarray
-    sizes: list[int]
-    filter: np.ndarray
-
-    @staticmethod
-    def build(rows: list[tuple[object, np.ndarray]]) -> Benchmark:
-        hashes, items, places, sizes = [], [], [], set()
-        for k, (_, packed) in enumerate(rows):
-            size = min(SIZE, len(packed))
-            if size < SHORTEST:
-                continue
-            sizes.add(size)
-            for template in TEMPLATES:
-                h, good = _windows(packed, size, template)
-                hashes.append(h[good])
-                items.append(np.full(good.sum(), k, np.int32))
-                places.append(np.flatnonzero(good).astype(np.int32))
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        seen = np.zeros(1 << 22, bool)
-        seen[(h >> np.uint64(42)).astype(np.int64)] = True
-        empty = np.empty(0, np.int32)
-        return Benchmark([r[0] for r in rows], [r[1] for r in rows], h[order], (np.concatenate(items) if items else empty)[order], (np.concatenate(places) if places else empty)[order], sorted(sizes), seen)
-
-    def touched(self, packed: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of texts end to end, those that may share a window (the filter decides)."""
-        found = []
-        for size in self.sizes:
-            if len(packed) >= size:
-                for template in TEMPLATES:
-                    h, good = _windows(packed, size, template)
-                    at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)] & good)
-                    at = at[np.isin(h[at], self.hashes)] if len(at) else at
-                    text = np.searchsorted(starts, at, "right") - 1
-                    found.append(text[at + size <= starts[text + 1]])
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def hits(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the text) of all windows in common."""
-        found = []
-        for size in self.sizes:
-            if len(packed) < size:
-                continue
+    return h, ~enough if template == VERBATIM else np.ones(n, bool) if template == WHOLE else enough
+
+
+def text_windows(packed: np.ndarray, starts: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, hash, place) of the windows of texts laid end to end: of each size in all templates, and short texts as a whole."""
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for size in sizes:
+        if len(packed) < size:
+            continue
+        inside = owner[: len(packed) - size + 1] == owner[size - 1 :]
+        if size >= SHORTEST:
             for template in TEMPLATES:
                 h, good = _windows(packed, size, template)
-                at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)] & good)
-                if len(at):
-                    lo = np.searchsorted(self.hashes, h[at], "left")
-                    n = np.searchsorted(self.hashes, h[at], "right") - lo
-                    rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    found.append((self.items[rows], self.places[rows], np.repeat(at, n)))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
-
-
-@dataclass
-class Leak:
-    item: object
-    coverage: float
-    run: int
-    consistency: float
-    start: int
-    end: int
+                yield size, h, np.flatnonzero(good & inside)
+        else:
+            at = starts[:-1][np.diff(starts) == size]
+            yield size, _windows(packed, size, WHOLE)[0], at
+
+
+def item_windows(packed: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(hash, place) of the windows of one item."""
+    for _, h, at in text_windows(packed, np.array([0, len(packed)]), [min(SIZE, len(packed))] if len(packed) else []):
+        yield from zip(h[at].tolist(), at.tolist(), strict=True)
 
 
 def slot_consistency(item: np.ndarray, doc: np.ndarray) -> float:
@@ -242,57 +208,149 @@ def instances(p: np.ndarray, a: np.ndarray, part: np.ndarray, n: int) -> list[np
     return [np.array(c) for c in chains]
 
 
-def find_leaks(packed: np.ndarray, bench: Benchmark, coverage: float, run: int, consistency: float) -> list[Leak]:
-    """Items of which the text holds a share of ``coverage``, or ``run`` tokens on end, with consistent slots.
+def judge(p: np.ndarray, a: np.ndarray, n: int, item: np.ndarray, doc: np.ndarray, coverage: float, run: int, consistency: float) -> tuple[float, int, float, int, int] | None:
+    """The best instance of an item of ``n`` tokens in a text: (coverage, run, consistency, start, end), or None.
 
-    Where the slots of all hits that stand close together are not consistent, each
-    instance of the item is judged by itself.
+    ``p`` and ``a``: places in the item and in the text of the windows in common;
+    ``item`` and ``doc``: their tokens, one row for each. Where the slots of all hits that stand
+    close together are not consistent, each instance of the item is judged by itself.
     """
-    items, places, at = bench.hits(packed)
-    out: list[Leak] = []
-    for k in np.unique(items).tolist():
-        own = items == k
-        item = bench.tokens[k]
-        size, n = min(SIZE, len(item)), len(item)
-        order = np.lexsort((places[own], at[own]))
-        p, a = places[own][order], at[own][order]
-        best: Leak | None = None
-        parts = np.split(np.arange(len(p)), np.flatnonzero(np.diff(a) > n) + 1)
-        apart: list[np.ndarray] = []
-        single = False
-        while parts:
-            part = parts.pop(0)
-            covered = np.zeros(n + 1, np.int64)
-            for q in np.unique(p[part]).tolist():
-                covered[q : q + size] = 1
-            edges = np.flatnonzero(np.diff(np.r_[0, covered]))
-            longest = int((edges[1::2] - edges[::2]).max())
-            share = covered.sum() / n
-            if share >= coverage or longest >= run:
-                pairs = np.unique(np.concatenate([np.stack([p[part] + i, a[part] + i], axis=1) for i in range(size)]), axis=0)
-                agree = slot_consistency(item[pairs[:, 0]], packed[pairs[:, 1]])
-                if agree < consistency and not single:
-                    apart += instances(p, a, part, n)
-                if agree >= consistency and (best is None or share > best.coverage):
-                    best = Leak(bench.ids[k], float(share), longest, agree, int(a[part].min()), int(a[part].max()) + size)
-            if not parts and not single:
-                parts, single = apart, True
-        if best:
-            out.append(best)
+    size = item.shape[1]
+    order = np.lexsort((p, a))
+    p, a, item, doc = p[order], a[order], item[order], doc[order]
+    best = None
+    parts = np.split(np.arange(len(p)), np.flatnonzero(np.diff(a) > n) + 1)
+    apart: list[np.ndarray] = []
+    single = False
+    while parts:
+        part = parts.pop(0)
+        covered = np.zeros(n + 1, np.int64)
+        for i in range(size):
+            covered[p[part] + i] = 1
+        edges = np.flatnonzero(np.diff(np.r_[0, covered]))
+        longest = int((edges[1::2] - edges[::2]).max())
+        share = float(covered.sum() / n)
+        if share >= coverage or longest >= run:
+            shift = np.arange(size)
+            places = ((p[part, None] + shift) << 32 | (a[part, None] + shift)).ravel()
+            once = np.unique(places, return_index=True)[1]
+            agree = slot_consistency(item[part].ravel()[once], doc[part].ravel()[once])
+            if agree < consistency and not single:
+                apart += instances(p, a, part, n)
+            if agree >= consistency and (best is None or share > best[0]):
+                best = share, longest, agree, int(a[part].min()), int(a[part].max()) + size
+        if not parts and not single:
+            parts, single = apart, True
+    return best
+
+
+def find_leaks(text: str, items: list[tuple[object, str]], coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> list[object]:
+    """Ids of the items that one text leaks: the same search without Spark, for single texts."""
+    doc = template_tokens(text)
+    out = []
+    for item_id, value in items:
+        item = template_tokens(value)
+        size = min(SIZE, len(item))
+        of: dict[int, list[int]] = {}
+        for h, q in item_windows(item):
+            of.setdefault(h, []).append(q)
+        found = sorted({(q, b) for _, h, at in text_windows(doc, np.array([0, len(doc)]), [size] if size else []) for b in at.tolist() for q in of.get(int(h[b]), ())})
+        if found:
+            p, a = np.array(found).T
+            shift = np.arange(size)
+            if judge(p, a, len(item), item[p[:, None] + shift], doc[a[:, None] + shift], coverage, run, consistency):
+                out.append(item_id)
     return out
 
 
-def _in_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list:
-    """The benchmark as broadcasts of at most MOST_WINDOWS windows or so; usually one."""
-    spark = benchmark.sparkSession
-    items = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-2 * int(words) // MOST_WINDOWS))
-    out = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        out.append(spark.sparkContext.broadcast(Benchmark.build([(r[0], template_tokens(r[1])) for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))])))
-    return out
+def _bank_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tid, text) to windows of items, with their raw tokens."""
+    only_tables_of("decontaminate")
+    for part, texts in text_chunks(batches, "text"):
+        rows: list[tuple] = []
+        for tid, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            item = template_tokens(text)
+            size = min(SIZE, len(item))
+            rows += [(h - (h >> 63 << 64), tid, at, len(item), size, item[at : at + size].tobytes()) for h, at in item_windows(item)]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "tid", "p", "n", "size", "item"])
+
+
+def _document_windows(shared, sizes: list[int]):
+    """Rows (id, th, text) to the windows that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_tables_of("decontaminate")
+        wanted = shared.value
+        for part, texts in text_chunks(batches, "text"):
+            packed, starts = chunk_tokens(texts)
+            for size, h, at in text_windows(packed, starts, sizes):
+                at = at[has_bit(wanted, (h[at] >> np.uint64(38)).astype(np.int64))]
+                if not len(at):
+                    continue
+                text = np.searchsorted(starts, at, "right") - 1
+                owner, tokens = pa.array(text), packed[at[:, None] + np.arange(size)].tobytes()
+                step = size * 8
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column(0).take(owner), part.column(1).take(owner), pa.array((at - starts[text]).astype(np.int32)), pa.array([tokens[i : i + step] for i in range(0, len(tokens), step)], pa.binary())], names=["h", "id", "th", "a", "doc"])
+
+    return run
+
+
+def _judge_groups(coverage: float, run: int, consistency: float):
+    """Rows (id, th, tid, p, a, n, item, doc) sorted by the first three to leaks."""
+    names = ["id", "th", "tid", "coverage", "run", "consistency", "start_token", "end_token"]
+
+    def judged(hits: dict[tuple[int, int], tuple[bytes, bytes]], n: int) -> tuple | None:
+        p, a = np.array(list(hits)).T
+        item, doc = (np.frombuffer(b"".join(x), np.uint64).reshape(len(hits), -1) for x in zip(*hits.values(), strict=True))
+        return judge(p, a, n, item, doc, coverage, run, consistency)
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hits, length, kind = None, {}, 0, None
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            kinds = [kind, pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for part in batches:
+            kind = part.schema.field(0).type
+            for *now, p, a, n, item, doc in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if now != key:
+                    if hits and (made := judged(hits, length)):
+                        rows.append((*key, *made))
+                    key, hits, length = now, {}, n
+                hits[p, a] = item, doc  # the templates and repeated rows give a place again
+            if len(rows) > 5000:
+                yield batch()
+                rows = []
+        if hits and (made := judged(hits, length)):
+            rows.append((*key, *made))
+        if rows:
+            yield batch()
+
+    return run_
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, coverage: float, run: int, consistency: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(id, th, tid, coverage, run, consistency, start_token, end_token)`` and the items ``(item, tid)``; ``tid``: hash of an item's text."""
+    spark = docs.sparkSession
+    ship(spark)
+    key, th = row_key(doc_id, text)
+    source = docs.where(F.col(f"`{text}`").isNotNull()).select(key.alias("id"), th.alias("th"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    given = benchmark.where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item_id}`").alias("item"), F.xxhash64(F.col(f"`{item_text}`").cast("string")).alias("tid"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    texts = given.groupBy("tid").agg(F.min("text").alias("text"))
+    bank = scratch.save(texts.mapInArrow(_bank_windows, "h long, tid long, p int, n int, size int, item binary"))
+    sizes = sorted(r[0] for r in bank.select("size").distinct().collect())  # 1 to SIZE
+    wanted = spark.sparkContext.broadcast(bit_filter(bank.select(F.shiftrightunsigned("h", 38).alias("s")), SLOTS))
+    met = source.mapInArrow(_document_windows(wanted, sizes), f"h long, id {kind}, th long, a int, doc binary")
+    # Both sides are plain exchanges, so that a hot window can be split; merged at every size, as no side has a bound.
+    hits = met.join(bank.hint("merge"), "h").select("id", "th", "tid", "p", "a", "n", "item", "doc")
+    grouped = hits.repartition("id", "th", "tid").sortWithinPartitions("id", "th", "tid")
+    schema = f"id {kind}, th long, tid long, coverage double, run int, consistency double, start_token int, end_token int"
+    return scratch.save(grouped.mapInArrow(_judge_groups(coverage, run, consistency), schema)), given.select("item", "tid").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> DataFrame:
@@ -300,58 +358,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     A document leaks an item when windows in common cover at least ``coverage`` of
     the item's tokens, or ``run`` tokens on end, near each other, with slots that are
-    consistent. The benchmark's windows are counted before they are broadcast; a
-    larger benchmark is taken in blocks, each against all documents, and no item is
-    left out. Null and empty texts leak nothing; items below three tokens are never
-    reported; very long texts are read whole; repeated rows give repeated leaks (also
-    repeated items); null ids pass through; empty tables give no rows; other columns
-    are ignored.
+    consistent; of several instances the one that covers most is given. An item of one or two
+    tokens leaks where it is all of a document. The windows of both sides are joined by their hash;
+    of the benchmark a filter of fixed size reaches the driver, nothing else. Null and
+    empty texts and items leak nothing; very long texts are read whole; rows with equal id and
+    text are one document, rows with one id and different texts several; items with
+    equal texts leak together; null ids pass through; empty tables give no rows; other
+    columns are ignored.
     """
-    ship(docs.sparkSession)
-    source = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind, item_kind = source.schema["id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    schema = f"id {kind}, item {item_kind}, coverage double, run int, consistency double, start_token int, end_token int"
-    parts = []
-    for shared in _in_blocks(benchmark, item_id, item_text):
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_kind)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            only_tables_of("decontaminate")
-            bench = shared.value
-            for part, texts in text_chunks(batches, "text"):
-                packed, starts = chunk_tokens(texts)
-                found = [(i, leak) for i in bench.touched(packed, starts).tolist() for leak in find_leaks(packed[starts[i] : starts[i + 1]], bench, coverage, run, consistency)]
-                if found:
-                    leaks = [x for _, x in found]
-                    columns = [pa.array([x.item for x in leaks], item_type), pa.array([x.coverage for x in leaks]), pa.array([x.run for x in leaks], pa.int32()), pa.array([x.consistency for x in leaks]), pa.array([x.start for x in leaks], pa.int32()), pa.array([x.end for x in leaks], pa.int32())]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([i for i, _ in found])), *columns], names=["id", "item", "coverage", "run", "consistency", "start_token", "end_token"])
-
-        parts.append(source.mapInArrow(search, schema))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.withColumnRenamed("id", doc_id).withColumnRenamed("item", item_id)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns; nothing is shuffled.
+    leaks, items = _leaks(docs, benchmark, doc_id, text, item_id, item_text, coverage, run, consistency, Scratch(docs.sparkSession, "leaks"))
+    return leaks.join(items, "tid").select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "coverage", "run", "consistency", "start_token", "end_token")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = 0.5, run: int = 13, consistency: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns; only rows that may leak are shuffled.
 
     Rules and cases are those of ``decontaminate``; rows with a null text stay.
     """
-    ship(docs.sparkSession)
-    at = docs.columns.index(text)
-    out = docs
-    for shared in _in_blocks(benchmark, item_id, item_text):
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            only_tables_of("decontaminate")
-            bench = shared.value
-            for part, texts in text_chunks(batches, at):
-                packed, starts = chunk_tokens(texts)
-                keep = np.ones(len(texts), bool)
-                for i in bench.touched(packed, starts).tolist():
-                    keep[i] = not find_leaks(packed[starts[i] : starts[i + 1]], bench, coverage, run, consistency)
-                yield part.filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    scratch = Scratch(docs.sparkSession, "leaks")
+    leaks, _ = _leaks(docs, benchmark, doc_id, text, item_id, item_text, coverage, run, consistency, scratch)
+    named = leaks.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    maybe, clean = sift(docs, doc_id, text, leaks.select("id", "th"), scratch)
+    stays = maybe.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti")
+    return clean.select("r").unionByName(stays.select("r")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ never depends on it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,16 @@ def one_per_id(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> Dat
     joined = maybe.select("id", F.col("r._t").alias("text")).join(named.select(F.col("id").alias("_id"), "least"), F.col("id") == F.col("_id"), "left")
     kept = joined.where(F.col("least").isNull() | (F.xxhash64("text") == F.col("least"))).groupBy("id").agg(F.min("text").alias("text"))
     return alone.select("id", F.col("r._t").alias("text")).unionByName(kept)
+
+
+def bit_filter(slots: DataFrame, size: int) -> np.ndarray:
+    """Bits of the slots ``s`` in use, 64 a word; at most ``size / 64`` rows reach the driver."""
+    bits = slots.groupBy(F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[bits.column("i").to_numpy()] = bits.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def has_bit(filter: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the bit of each slot is set."""
+    return (filter[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)

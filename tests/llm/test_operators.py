@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import os
 import random
 import re
 import zlib
@@ -20,6 +21,7 @@ from fathomline.llm.queries import ORACLES, QUERIES
 from fathomline.llm.sample import hash_sample
 from fathomline.llm.scratch import Scratch
 
+DATA = os.environ.get("TEST_DATA", "/root/testdata")
 RANKS = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
 
 
@@ -81,8 +83,7 @@ ITEM = "Alice Smith has 12 apples and gives 5 of them to her brother Bob. How ma
 
 
 def leaks(text, **how):
-    bench = decontaminate.Benchmark.build([(1, decontaminate.template_tokens(ITEM)), (2, decontaminate.template_tokens("Yes it is"))])
-    return [x.item for x in decontaminate.find_leaks(decontaminate.template_tokens(text), bench, **({"coverage": 0.5, "run": 13, "consistency": 0.8} | how))]
+    return decontaminate.find_leaks(text, [(1, ITEM), (2, "Yes it is")], **how)
 
 
 def test_reparameterised_questions_are_leaks():
@@ -107,11 +108,14 @@ def test_instances_of_an_item_are_judged_by_themselves():
 
 @pytest.mark.parametrize("item", ["Solve 3x + 5 = 20", "Compute 12*15 - 3^2", "2, 4, 8, 16, 32, 64, 128, 256", "7 kg 9 kg 11 kg 13 kg"])
 def test_items_dense_in_numbers_are_found_verbatim(item):
-    bench = decontaminate.Benchmark.build([(1, decontaminate.template_tokens(item))])
-    find = lambda text: [x.item for x in decontaminate.find_leaks(decontaminate.template_tokens(text), bench, 0.5, 13, 0.8)]
+    find = lambda text: decontaminate.find_leaks(text, [(1, item)])
     assert find(f"some words before {item} and after") == [1] and find("other numbers 1, 3, 5, 6, 7, 9 and 10 kg 12 kg") == []
-    packed, starts = decontaminate.chunk_tokens([f"before {item} after", "nothing"])
-    assert bench.touched(packed, starts).tolist() == [0]
+
+
+def test_a_unit_needs_a_number():
+    kinds = lambda text: [x & 7 for x in decontaminate.template_tokens(text).tolist()]
+    U, N, L = decontaminate.UNIT, decontaminate.NUMBER, decontaminate.LITERAL
+    assert kinds("in a second 5 in or $ 7 in") == [L, L, L, N, U, L, U, N, U]
 
 
 def test_verbatim_items_are_found(spark, sf, docs):
@@ -124,11 +128,19 @@ def test_verbatim_items_are_found(spark, sf, docs):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in got}
 
 
-def test_blocks_of_the_benchmark(spark, sf, docs, monkeypatch):
-    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", 1000)
-    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == whole
+def test_leaks_equal_the_search_without_spark(spark, docs):
+    """All documents against all items, one by one; numbers, short items, repeated items and rows among them."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet").collect()]
+    more = ["12 + 35 * 4 - 7 = 151", "7 plus 8 equals 15", "Solve 3x + 5 = 20", "two words", "word", ITEM, ITEM]
+    items += [(10_000 + i, t) for i, t in enumerate(more)]
+    texts = [(r["doc_id"], r["text"]) for r in docs.where("doc_id % 4 = 0").collect()]
+    texts += [(90_000 + i, f"some words {t} and more") for i, t in enumerate(more)] + [(91_000, "Two words!"), (91_001, "word"), (91_002, "word"), (91_003, ITEM.replace("Alice", "Carol")), (91_003, ITEM.replace("Alice", "Carol"))]
+    table, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(table, bench).collect())
+    assert got == sorted({(i, k) for i, t in texts for k in decontaminate.find_leaks(t or "", items)})
+    assert {(90_000, 10_000), (90_001, 10_001), (90_002, 10_002), (91_000, 10_003), (91_001, 10_004), (91_003, 10_005), (91_003, 10_006)} <= set(got) and (90_003, 10_003) not in got
+    kept = sorted(r["doc_id"] for r in decontaminate.drop_contaminated(table, bench).collect())
+    assert kept == sorted(i for i, _ in texts if i not in {d for d, _ in got})
 
 
 # --- 3 ---
