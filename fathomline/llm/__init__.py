@@ -1,5 +1 @@
-"""Training-data operators: filters, deduplication, tokenisation, media and classifiers.
-
-Nothing outside this package imports it; ``queries.py`` holds the registered
-queries and ``oracle.py`` their SQL twins.
-"""
+"""Training-data operators; their queries and SQL twins are in ``queries``. Nothing outside imports this package."""

@@ -420,12 +420,13 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> D
     """The frame with ``ids`` replaced by ``decoded``, the text of the ids.
 
     Null ids give an empty text; an id outside the vocabulary is an error; broken
-    UTF-8 becomes U+FFFD. All other columns are kept as they are.
+    UTF-8 becomes U+FFFD. All other columns are kept as they are; one named
+    ``decoded`` is replaced.
     """
     with open(vocabulary, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
     ship(encoded.sparkSession)
-    rest = [c for c in encoded.columns if c != ids]
+    rest = [c for c in encoded.columns if c not in (ids, "decoded")]
     source = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias("_ids"))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in rest), "decoded string"])
 

@@ -166,7 +166,7 @@ def fit_filters(labelled: DataFrame, lang: str = "lang", text: str = "text", per
             for language in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == language]
                 hashes, n = np.unique(ngram_hashes(own, sizes)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(hashes)), pa.array(hashes.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(hashes), pa.string()), pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counts = scratch.save(sampled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}

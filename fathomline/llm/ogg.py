@@ -232,10 +232,12 @@ def read_ogg(media: DataFrame, column: str = "media") -> DataFrame:
 
     Columns added: payload, streams, pages, packets, cues, seconds, mean, deviation,
     crossings (of the middle level by neighbouring samples). Null media give nulls;
-    broken media raise BrokenMedia. All other columns are kept.
+    broken media raise BrokenMedia. All other columns are kept; those named like the
+    added ones are replaced.
     """
     ship(media.sparkSession)
-    rest = [c for c in media.columns if c != column]
+    added = ("payload", "streams", "pages", "packets", "cues", "seconds", "mean", "deviation", "crossings")
+    rest = [c for c in media.columns if c != column and c not in added]
     source = media.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias("_media"))
     made = {"payload": pa.binary(), "streams": pa.int32(), "pages": pa.int32(), "packets": pa.int32(), "cues": pa.int32(), "seconds": pa.float64(), "mean": pa.float64(), "deviation": pa.float64(), "crossings": pa.int64()}
     kinds = "payload binary, streams int, pages int, packets int, cues int, seconds double, mean double, deviation double, crossings long"

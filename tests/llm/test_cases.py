@@ -77,6 +77,35 @@ def test_defined_results(spark):
     assert tokens[1]["n_tokens"] == tokens[2]["n_tokens"] == 0 and tokens[6]["n_tokens"] > 30_000
 
 
+def test_columns_named_like_the_added_ones_are_replaced(spark):
+    docs = awkward(spark)
+    media = read_ogg(text_to_ogg(docs).withColumns({"payload": F.lit(1), "mean": F.lit("x")}))
+    assert media.columns.count("payload") == media.columns.count("mean") == 1 and media.count() == docs.count()
+    decoded = decode_documents(encode_documents(docs, RANKS, PATTERN).withColumn("decoded", F.lit(1)), RANKS)
+    assert decoded.columns.count("decoded") == 1 and dict(decoded.dtypes)["decoded"] == "string"
+    clash = docs.withColumns({c: F.lit(1) for c in ("_own", "_id", "_th", "_starts", "r", "bits", "w", "s", "hit")})
+    assert dedup_lines(clash).count() == docs.count() and set(clash.columns) | {"n_removed"} == set(dedup_lines(clash).columns)
+
+
+def test_every_stage_on_awkward_tables(spark, tmp_path):
+    """Null and shared ids, null and empty texts, no rows: each stage keeps what its operator says."""
+    import corpus_pipeline
+
+    benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = awkward(spark).select(corpus_pipeline.COLUMNS)
+    rows, none = docs.count(), docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        if name != "token_ids":
+            assert got.columns == corpus_pipeline.COLUMNS
+        kept = sorted(((r["doc_id"] or 0) for r in got.collect()))
+        if name in ("leaks", "token_ids"):
+            assert len(kept) == rows
+        if name == "near_copies":  # 1, 2, 3 have no word; 7, 7, 8 are alike
+            assert kept == [0, 1, 4, 5, 6, 7, 9]
+
+
 def test_without_labels_scores_are_even(spark):
     none = labels(spark).limit(0)
     for scored in (score_quality(awkward(spark), none), score_toxicity(awkward(spark), none)):
