@@ -21,7 +21,7 @@ def resolve_labels(hits: DataFrame, queries: DataFrame, config: EngineConfig, ke
     asked = queries.select(key, F.trim(name).alias("_q")).where("_q <> ''").distinct()
     best = best_by_label(hits, key).join(asked, key)
     top = F.max("best").over(Window.partitionBy(key))
-    keep = (F.lower("label") == F.lower("_q")) | (F.col("best") >= F.greatest(F.lit(config.label_floor), F.lit(config.label_ratio) * top))
+    keep = (F.lower("label") == F.lower("_q")) | (F.col("best") >= F.greatest(F.lit(config.evidence.label_floor), F.lit(config.evidence.label_ratio) * top))
     kept = best.withColumn("_keep", keep).where("_keep").select(key, "label")
     missing = asked.join(kept.select(key).distinct(), key, "left_anti").select(key, F.col("_q").alias("label"))
     return kept.unionByName(missing)

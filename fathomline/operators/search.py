@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.exprs import EPS, as_doubles, attributes_equal, dot, modality_passes, norm
 from fathomline.shipping import ship
+from fathomline.staging import Scratch
 
 #: Bytes of vectors that are broadcast at once; a larger side is taken in blocks.
 MOST_BROADCAST = 64 << 20
@@ -52,7 +54,7 @@ def vector_topk(bank: DataFrame, query: list[float], k: int = 10) -> DataFrame:
 
 
 def _matrix(rows: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
-    """Vectors over their guarded lengths."""
+    """Vectors over their guarded lengths; there are no nulls and one length, see ``comparable``."""
     values = rows.column(column)
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     if not len(values):
@@ -62,31 +64,40 @@ def _matrix(rows: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
     return v / (np.sqrt((v * v).sum(axis=1, keepdims=True)) + EPS)
 
 
+def comparable(rows: DataFrame, dim: int) -> DataFrame:
+    """Rows with a vector; one of another length than ``dim`` or with a null in it fails the job."""
+    whole = F.assert_true(~F.exists("embedding", lambda x: x.isNull()), F.lit("vectors must have no nulls inside")).isNull()
+    return check_dimension(rows.where(F.col("embedding").isNotNull()), dim).where(whole)
+
+
 def batch_knn(queries: DataFrame, bank: DataFrame, k: int | None, query_id: str = "query_id", carry: tuple[str, ...] = ("label", "modality")) -> DataFrame:
     """``(query_id, id, *carry, score, rank)``: the ``k`` best of the bank for each query.
 
-    The bank is broadcast in blocks of a fixed number of bytes and the queries
+    The bank is broadcast in blocks of a fixed number of bytes, counted before, and the queries
     stream past each block once; a block's hits are cut to ``k`` per query before
-    anything moves. With one block there is no shuffle at all; with more, a window
-    merges ``k`` rows per block. ``k`` None returns all pairs, which is the caller's
-    wish and is streamed. No cross join is planned.
+    anything moves. With one block there is no shuffle at all; with more, each
+    block's hits are written before the next block is read, so the driver holds one block at a
+    time, and a window merges ``k`` rows per block. ``k`` None returns all pairs, which is the caller's
+    wish and is streamed. No cross join is planned. Null vectors on either side have no
+    hits; vectors of two lengths, on one side or between the sides, fail the job.
     """
     spark = bank.sparkSession
     ship(spark)
     names = ["id", *carry]
-    own = bank.select(*names, "embedding")
-    shape = own.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    blocks = max(1, -(-(shape[0] * (shape[1] or 1) * 8) // MOST_BROADCAST))
-    source = queries.select(F.col(query_id).alias("query_id"), "embedding")
+    shape = bank.where(F.col("embedding").isNotNull()).agg(F.count("*"), F.max(F.size("embedding"))).first()
+    dim = shape[1] or 0
+    own = bank.select(*names, "embedding").where(F.col("embedding").isNotNull())
+    own = comparable(own, dim) if shape[0] else own
+    blocks = max(1, -(-(shape[0] * dim * 8) // MOST_BROADCAST))
+    source = queries.select(F.col(query_id).alias("query_id"), "embedding").where(F.col("embedding").isNotNull())
+    source = comparable(source, dim) if shape[0] else source.limit(0)
     fields = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in names)
     schema = f"query_id {source.schema['query_id'].dataType.simpleString()}, {fields}, score double, rank int"
-    parts = []
-    for block in range(blocks):
-        rows = own if blocks == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        table = rows.toArrow().sort_by("id")
-        shared = spark.sparkContext.broadcast(table)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def hits_of(rows: DataFrame) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(rows.toArrow().sort_by("id"))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
             base = _matrix(table, "embedding").T
             n = table.num_rows
@@ -104,11 +115,17 @@ def batch_knn(queries: DataFrame, bank: DataFrame, k: int | None, query_id: str
                     columns = [part.column(0).take(pa.array(np.repeat(np.arange(len(best)), take))), *[hits.column(c).combine_chunks() for c in names], pa.array(np.take_along_axis(scores, best, axis=1).ravel()), pa.array(np.tile(np.arange(1, take + 1, dtype=np.int32), len(best)))]
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", *names, "score", "rank"])
 
-        parts.append(source.mapInArrow(search, schema))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    if blocks > 1:
+        return source.mapInArrow(search, schema), shared
+
+    if blocks == 1:
+        out = hits_of(own)[0]
+    else:
+        scratch, out = Scratch(spark, "knn"), None
+        for block in range(blocks):
+            found, shared = hits_of(own.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block))
+            found = scratch.save(found)
+            shared.destroy()
+            out = found if out is None else out.unionByName(found)
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
         out = out if k is None else out.where(F.col("rank") <= k)
     return out.withColumnRenamed("query_id", query_id)
