@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,13 +13,26 @@ from pyspark.sql import functions as F
 from fathomline.shipping import ship
 
 
+#: Models of this Python worker, by the call that asked for them.
+_loaded: dict[str, Callable] = {}
+
+
+def loaded(call: str, make: Callable[[], Callable]) -> Callable:
+    """What ``make`` returns, made once per worker and call."""
+    if call not in _loaded:
+        _loaded.clear()  # a worker holds the model of one call at a time
+        _loaded[call] = make()
+    return _loaded[call]
+
+
 def encode_column(df: DataFrame, column: str, make: Callable[[], Callable[[list], np.ndarray]], out: str = "embedding") -> DataFrame:
-    """The frame with vectors of ``column``; ``make`` is called once per task (models load there)."""
+    """The frame with vectors of ``column``; ``make`` is called once per Python worker (models load there)."""
     ship(df.sparkSession)
+    call = uuid.uuid4().hex
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make()
+        encode = loaded(call, make)
         for values in batches:
             yield pd.Series(list(np.asarray(encode(values.tolist()), np.float32)), index=values.index)
 

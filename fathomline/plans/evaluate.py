@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.exprs import EPS
 from fathomline.operators.boxes import match_greedy
-
-
-#: Confidences are cut into so many slices, so that one label's curve is made by many tasks.
-SLICES = 4096
-
+from fathomline.staging import Scratch, in_ranges
 
 def pr_curve(matched: DataFrame, truth: DataFrame, label: str = "label", confidence: str = "conf", order: tuple[str, ...] = ("image_id", "seq")) -> DataFrame:
     """Running precision and recall of each label, best predictions first, with the envelope.
 
-    Sums run within slices of the confidence; totals of the slices (a bounded number
-    per label) are run on their own and added, and so is the envelope's maximum.
+    Rows are cut into ranges of the whole order (label, confidence, then ``order``),
+    so neither a label nor a confidence that many rows share lands in one task. Sums
+    run within a range; totals of the ranges (one row for each label in a range) are run on their own and
+    added, and so is the envelope's maximum.
     """
-    total = truth.groupBy(label).agg(F.count("*").alias("num_gt"))
+    scratch = Scratch(matched.sparkSession, "curve")
+    total = scratch.save(truth.groupBy(label).agg(F.count("*").alias("num_gt")))
     keys = [label, "_slice"]
-    rows = matched.withColumn("_slice", F.floor(-F.col(confidence) * SLICES))
+    rows = in_ranges(matched, [F.col(label), F.desc(confidence), *map(F.col, order)], scratch)
     slices = rows.groupBy(*keys).agg(F.sum("tp").alias("_tp"), F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(*keys, F.coalesce(F.sum("_tp").over(before), F.lit(0)).alias("_tp0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
@@ -30,7 +29,7 @@ def pr_curve(matched: DataFrame, truth: DataFrame, label: str = "label", confide
     run = rows.withColumns({"_r": F.row_number().over(by), "_t": F.sum("tp").over(upto)}).join(offsets, keys).join(total, label, "left")
     run = run.withColumns({"num_gt": F.coalesce("num_gt", F.lit(0)), "n": F.col("_n0") + F.col("_r"), "tps": F.col("_tp0") + F.col("_t")})
     run = run.withColumns({"precision": F.col("tps") / (F.col("n") + F.lit(EPS)), "recall": F.col("tps") / (F.col("num_gt") + F.lit(EPS))})
-    run = run.withColumn("step", F.col("recall") - (F.col("tps") - F.col("tp")) / (F.col("num_gt") + F.lit(EPS)))
+    run = scratch.save(run.withColumn("step", F.col("recall") - (F.col("tps") - F.col("tp")) / (F.col("num_gt") + F.lit(EPS))))
     after = Window.partitionBy(label).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     later = run.groupBy(*keys).agg(F.max("precision").alias("_p")).select(*keys, F.max("_p").over(after).alias("_later"))
     rest = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -67,9 +66,14 @@ def pooled_average_precision(matched: DataFrame, truth: DataFrame, **how: object
     return average_precision(matched.withColumn("_pool", one), truth.withColumn("_pool", one), "_pool", **how).select("ap", "ar")
 
 
-def evaluate(predictions: DataFrame, truth: DataFrame, labels: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Metrics of each asked label, from predictions and true boxes (``image_id, label`` and corners)."""
-    matched = match_greedy(predictions, truth, ["image_id", "label"], iou)
+def evaluate(predictions: DataFrame, truth: DataFrame, labels: DataFrame, iou: float = 0.5, present: DataFrame | None = None) -> DataFrame:
+    """Metrics of each asked label, from predictions and true boxes (``image_id, label`` and corners).
+
+    ``present(image_id)`` lists the images that could be read: predictions in others are
+    left out, their true boxes count all the same.
+    """
+    own = predictions if present is None else predictions.join(present.select("image_id").distinct(), "image_id", "left_semi")
+    matched = match_greedy(own, truth, ["image_id", "label"], iou)
     return label_metrics(labels, average_precision(matched, truth), truth)
 
 

@@ -41,27 +41,46 @@ def normalize_references(raw: DataFrame) -> DataFrame:
     return out.where(F.coalesce(payload, F.lit("")) != "").select(F.coalesce("id", F.concat_ws("_", "modality", "label")).alias("id"), "label", "modality", F.when(is_text, F.col("_text")).alias("text"), F.when(~is_text, F.col("_path")).alias("path"))
 
 
-def to_query_list(value: Column) -> Column:
-    """A JSON string or list of strings as trimmed, distinct, non-empty strings in order."""
-    many = F.from_json(value, "array<string>")
-    return F.when(value.startswith("["), clean_list(many)).otherwise(clean_list(F.array(F.regexp_replace(value, '^"|"$', ""))))
+def to_query_list(value: Column, kind: T.DataType | None = None) -> Column:
+    """A query or a list of queries as trimmed, distinct, non-empty strings in order.
+
+    ``kind`` tells how the value is held: an array is a list, a variant has the type
+    of its JSON. A string is one query, whatever brackets or quotes it has, unless
+    all of it is a JSON list of strings, as a reader with a fixed schema gives lists.
+    """
+    if isinstance(kind, T.ArrayType):
+        return clean_list(value)
+    if isinstance(kind, T.VariantType):
+        listed = F.schema_of_variant(value).startswith("ARRAY")
+        return clean_list(F.when(listed, F.try_variant_get(value, "$", "array<string>")).otherwise(F.array(F.try_variant_get(value, "$", "string"))))
+    many = F.when(F.trim(value).startswith("[") & F.trim(value).endswith("]"), F.from_json(value, "array<string>"))
+    return clean_list(F.coalesce(many, F.array(value)))
 
 
 def prompts_from_map(raw: DataFrame, column: str = "value") -> DataFrame:
-    """``(label, query, ord)`` from the dict form, one JSON object per row: label to string or list."""
-    entries = raw.select(F.explode(F.from_json(F.col(column), "map<string,string>")).alias("label", "v"))
-    return _one_per_query(entries.select(F.trim("label").alias("label"), F.posexplode(to_query_list(F.col("v"))).alias("ord", "query")))
+    """``(label, query, ord)`` from the dict form, one JSON object per row: label to string or list, each kept as what it is."""
+    entries = raw.select(F.explode(F.from_json(F.col(column), "map<string,variant>")).alias("label", "v"))
+    return _one_per_query(entries.select(F.trim("label").alias("label"), F.posexplode(to_query_list(F.col("v"), T.VariantType())).alias("ord", "query")))
 
 
 def prompts_from_list(raw: DataFrame) -> DataFrame:
     """``(label, query, ord)`` from the list form: the first key with a value counts, labels merge."""
-    given = [F.col(c) for c in PROMPT_KEYS if c in raw.columns]
-    value = F.coalesce(*[F.when(F.trim(c) != "", c) for c in given])
-    return _one_per_query(raw.select(F.trim("label").alias("label"), F.posexplode(to_query_list(value)).alias("ord", "query")))
+    options = [to_query_list(F.col(c), raw.schema[c].dataType) for c in PROMPT_KEYS if c in raw.columns]
+    queries = F.coalesce(*[F.when(F.size(x) > 0, x) for x in options])
+    return _one_per_query(raw.select(F.trim("label").alias("label"), F.posexplode(queries).alias("ord", "query")))
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """``(label, query, ord)`` of a prompts file in either form."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), "value")
+    listed = F.schema_of_variant("v").startswith("ARRAY")
+    fields = ", ".join(["label string", *[f"{c} variant" for c in PROMPT_KEYS]])
+    items = raw.where(listed).select(F.explode(F.from_json("value", f"array<struct<{fields.replace(' ', ':')}>>".replace(",:", ","))).alias("i")).select("i.*")
+    return prompts_from_map(raw.where(~listed)).unionByName(prompts_from_list(items)).groupBy("label", "query").agg(F.min("ord").alias("ord"))
 
 
 def _one_per_query(rows: DataFrame) -> DataFrame:
-    return rows.where("label <> ''").groupBy("label", "query").agg(F.min("ord").alias("ord"))
+    return rows.where("label <> '' and query is not null").groupBy("label", "query").agg(F.min("ord").alias("ord"))
 
 
 def resolve_prompt_paths(prompts: DataFrame, folder: str) -> DataFrame:
@@ -94,7 +113,7 @@ def images_with_files(images: DataFrame, files: DataFrame, folders: tuple[str, .
     return found.groupBy("id").agg(F.min_by("path", "_n").alias("path")).join(images, "id")
 
 
-def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Detections of a predictions file; a file without any gives no rows."""
-    raw = spark.read.schema(f"detections array<struct<{schema}>>").option("multiLine", True).json(path)
+def read_predictions(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Detections of predictions files, one payload a file or a line; a payload without any gives no rows."""
+    raw = spark.read.schema(f"detections array<struct<{schema}>>").option("multiLine", not lines).json(path)
     return raw.select(F.explode("detections").alias("d")).select("d.*")
