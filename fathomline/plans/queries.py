@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomline.config import EngineConfig
+from fathomline.config import EngineConfig, Retrieval, Suppression
 from fathomline.functions import exprs as E
 from fathomline.operators import boxes as B
 from fathomline.operators import labels as L
 from fathomline.operators import scoring as S
 from fathomline.operators import search as K
+from fathomline.operators.sampling import reference_samples, sample_images
 from fathomline.plans import evaluate as V
 from fathomline.plans.detect import Engine, detections_json
 from fathomline.plans.views import predictions, sql_views, table, truth, view
-from fathomline.sources.bank import default_ids, manifest, upsert
-from fathomline.sources.references import normalize_references, prompts_from_list, prompts_from_map
+from fathomline.plans.report import benchmark_summary, run_summary, write_payloads
+from fathomline.sources.bank import default_ids, load_indices, manifest, save_bank, upsert, with_norm
+from fathomline.sources.references import normalize_references, prompts_from_list, prompts_from_map, read_predictions
+from fathomline.staging import Scratch
 from fathomline.streaming.resume import pending
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +175,8 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, modality: str = "text") -> DataFrame:
-    return K.batch_knn(view(spark, sf_dir, "queries"), K.select_candidates(_refs(spark, sf_dir), modality), 20)
+    """Hits of the queries, written once: several parts of a query read them."""
+    return Scratch(spark, "hits").save(K.batch_knn(view(spark, sf_dir, "queries"), K.select_candidates(_refs(spark, sf_dir), modality), 20))
 
 
 def _region_hits(spark: SparkSession, sf_dir: str, modality: str = "text") -> DataFrame:
@@ -253,7 +257,7 @@ gated as (select *, region_id as seq, confidence as conf from winners where conf
 select query_id, region_id, image_id, label, round(agg, 6) as score, round(confidence, 6) as confidence from gated where (image_id, label, query_id, seq) in (select image_id, label, query_id, seq from alone)""")
 def detect_text_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions see the query's own candidates only, and queries do not suppress each other."""
-    config = EngineConfig(restrict_to_query_candidates=True, nms_scope="per_query")
+    config = EngineConfig(Retrieval(own_candidates_only=True), suppression=Suppression(scope="per_query"))
     found = Engine(_refs(spark, sf_dir), config).detect_text(view(spark, sf_dir, "regions"), view(spark, sf_dir, "queries"))
     return rounded(found.select("query_id", "region_id", "image_id", "label", "score", "confidence"), "score", "confidence")
 
@@ -319,6 +323,23 @@ def detections_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections_json(found, CONFIG)
 
 
+DETECTION = "label string, box array<double>, score double, confidence double, objectness double, top_k_scores array<struct<rank:int,ref_id:string,score:double,modality:string>>, margin double, aggregation struct<method:string,temperature:double,top_m:int>"
+
+
+@query(f"""{FOUND}, gated as (select *, region_id * 1000000 + query_id as seq, confidence as conf from winners where confidence >= 0.15),
+{sql_nms('gated', 'image_id, label')}, stayed as (select * from gated where (image_id, label, seq) in (select image_id, label, seq from alone))
+select image_id, image_id as image, count(*) over (partition by image_id) as num_detections, label, x1, y1, x2, y2, round(agg, 6) as score, round(confidence, 6) as confidence, round(objectness, 6) as objectness, round(margin, 6) as margin,
+  n as hits, 'weighted_mean' as method, 5 as top_m, 'a|b' as queries, 'mean' as query_image_agg from stayed""")
+def payload_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of all images, written with the facts of the call and read back from their JSON."""
+    found = Engine(_refs(spark, sf_dir), CONFIG).detect_text(view(spark, sf_dir, "regions"), view(spark, sf_dir, "queries"))
+    payloads = detections_json(found, CONFIG, facts={"queries": ["a", "b"], "query_images": [], "query_image_agg": "mean"})
+    read = payloads.select("image_id", F.from_json("payload", f"num_detections long, detections array<struct<{DETECTION}>>, image long, queries array<string>, query_images array<string>, query_image_agg string").alias("p"))
+    rows = read.select("image_id", F.col("p.image").alias("image"), F.col("p.num_detections").alias("num_detections"), F.array_join("p.queries", "|").alias("queries"), F.col("p.query_image_agg").alias("query_image_agg"), F.explode("p.detections").alias("d"))
+    box = [F.col("d.box")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return rounded(rows.select("image_id", "image", "num_detections", "d.label", *box, "d.score", "d.confidence", "d.objectness", "d.margin", F.size("d.top_k_scores").cast("long").alias("hits"), "d.aggregation.method", "d.aggregation.top_m", "queries", "query_image_agg"), "score", "confidence", "objectness", "margin")
+
+
 # --- boxes ---
 
 
@@ -410,6 +431,22 @@ def mean_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.mean_metrics(_metrics(spark, sf_dir)), "mean_ap", "mean_ar")
 
 
+@query(METRICS.replace("select image_id, seq, label, conf, x1, y1, x2, y2 from boxes where is_gt = 0", "select image_id, seq, label, conf, x1, y1, x2, y2 from boxes where is_gt = 0 and image_id % 3 <> 0") + " select label, round(case when lacking then 0e0 else ap end, 6) as ap, round(case when lacking then 0e0 else ar end, 6) as ar, case when lacking then 0 else num_gt end as num_gt, case when lacking then 0 else num_predictions end as num_predictions, case when lacking then 'category_not_in_coco' end as reason from metrics")
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the images cannot be read: no predictions there, but their truth counts."""
+    asked = view(spark, sf_dir, "boxes").select("label").distinct().unionByName(spark.createDataFrame([("Z",)], "label string"))
+    present = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id")).where("image_id % 3 <> 0")
+    return rounded(V.evaluate(predictions(spark, sf_dir), truth(spark, sf_dir), asked, present=present), "ap", "ar")
+
+
+@query(f"{METRICS} select 'text' as mode, count(*) as num_labels, string_agg(label, '|' order by label) as labels, round(avg(case when lacking then 0e0 else ap end), 6) as mean_ap, round(avg(case when lacking then 0e0 else ar end), 6) as mean_ar, max(case when label = 'R' then num_gt end) as num_gt_r, max(case when lacking then 'category_not_in_coco' end) as reason_z, 'bank' as source from metrics")
+def benchmark_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a benchmark, read back from its JSON."""
+    made = benchmark_summary(_metrics(spark, sf_dir), "text", {"index": "bank"})
+    read = made.select(F.from_json("payload", "num_labels long, labels array<string>, mode string, mean_ap double, mean_ar double, metrics map<string,struct<ap:double,ar:double,num_gt:long,num_predictions:long,reason:string>>, source struct<index:string>").alias("p"))
+    return rounded(read.select("p.mode", "p.num_labels", F.array_join("p.labels", "|").alias("labels"), "p.mean_ap", "p.mean_ar", F.col("p.metrics")["R"]["num_gt"].alias("num_gt_r"), F.col("p.metrics")["Z"]["reason"].alias("reason_z"), F.col("p.source.index").alias("source")), "mean_ap", "mean_ar")
+
+
 @query(f"""{MATCH}, size as (select count(*) as num_gt from truth),
 c as (select tp, conf, image_id, seq, num_gt, row_number() over w as n, sum(tp) over (w rows between unbounded preceding and current row) as tps from matched, size window w as (order by conf desc, image_id, seq)),
 d as (select *, tps / (n + 1e-8) as p, tps / (num_gt + 1e-8) as r from c),
@@ -418,9 +455,18 @@ def pooled_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.pooled_average_precision(_matched(spark, sf_dir), truth(spark, sf_dir)), "ap", "ar")
 
 
-@query("select round(avg(value) * 1000, 6) as avg_time_ms, round(1 / avg(value), 6) as fps from events where event_type = 'purchase'")
+@query(f"with x as ({ORACLES['pooled_ap']}) select ap, ar, (select count(*) from lineitem where l_linestatus <> 'F') as num_predictions, (select count(*) from lineitem where l_linestatus = 'F') as num_gt, (select count(*) from orders) as sample_size, (select round(avg(value) * 1000, 6) from events) as avg_time_ms, (select round(1 / avg(value), 6) from events) as fps, 0.5::double as iou_threshold, 42 as seed from x")
+def run_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a run, read back from its JSON."""
+    pooled = V.pooled_average_precision(_matched(spark, sf_dir), truth(spark, sf_dir))
+    made = run_summary(pooled, predictions(spark, sf_dir), truth(spark, sf_dir), table(spark, sf_dir, "orders"), table(spark, sf_dir, "events").select(F.col("value").alias("seconds")))
+    read = made.select(F.from_json("payload", "sample_size long, num_predictions long, num_gt long, ap double, ar double, avg_time_ms double, fps double, iou_threshold double, seed int").alias("p")).select("p.*")
+    return rounded(read, "ap", "ar", "avg_time_ms", "fps")
+
+
+@query("select round(avg(value) * 1000, 6) as avg_time_ms, round(1 / avg(value), 6) as fps from events")
 def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.timing(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "value"), "avg_time_ms", "fps")
+    return rounded(V.timing(table(spark, sf_dir, "events"), "value"), "avg_time_ms", "fps")
 
 
 # --- bank, references, prompts, runs ---
@@ -428,12 +474,19 @@ def timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {sql_views('boxes')} select label, image_id, seq from (select *, row_number() over (partition by label order by image_id, seq) as n from boxes) x where n = 1")
 def reference_sample_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "boxes").groupBy("label").agg(F.min(F.struct("image_id", "seq")).alias("f")).select("label", "f.*")
+    return reference_samples(view(spark, sf_dir, "boxes"))
+
+
+@query(f"""with {sql_views('boxes')} select label, image_id, seq from (select *, row_number() over (partition by label order by image_id, seq) as n from boxes where image_id in (select o_orderkey from orders where o_orderstatus = 'F')) x where n <= 3""")
+def reference_sample_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that cannot be read (orders that are not filled) give no samples."""
+    usable = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image_id"))
+    return reference_samples(view(spark, sf_dir, "boxes"), usable, 3)
 
 
 @query("select vec_id from embeddings order by md5(concat(vec_id, '/42')), vec_id limit 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id").orderBy(F.md5(F.concat("vec_id", F.lit("/42"))), "vec_id").limit(100)
+    return sample_images(table(spark, sf_dir, "embeddings").select("vec_id"), 100, 42, "vec_id")
 
 
 @query(f"""with {sql_views('refs')}, u as (select id, label, source, 1 as version from refs union all select id, concat(label, '_new'), source, 2 from refs where vec_id % 3 = 0 union all select concat('ref_new_', vec_id), label, source, 2 from refs where vec_id % 7 = 0)
@@ -452,6 +505,25 @@ def bank_default_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return default_ids(rows, 1000, "vec_id").select("vec_id", "id")
 
 
+@query(f"with {sql_views('refs')} select modality, count(*) as n, round(sum(sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-8), 3) as norms from refs where modality in ('text', 'image') group by all")
+def bank_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bank, saved by modality and loaded again as its two halves."""
+    path = f"{Scratch(spark, 'halves').root}/bank"
+    save_bank(with_norm(_refs(spark, sf_dir).where("modality in ('text', 'image')")), path)
+    text, image = load_indices(spark, path)
+    return text.unionByName(image).groupBy("modality").agg(F.count("*").alias("n"), F.round(F.sum("norm"), 3).alias("norms"))
+
+
+@query(f"with {sql_views('boxes', 'preds')} select image_id, seq, label, conf, x1, y1, x2, y2 from preds")
+def predictions_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of each image written as a payload and scanned again."""
+    scratch, fields = Scratch(spark, "payloads"), ("image_id", "seq", "label", "conf", "x1", "y1", "x2", "y2")
+    rows = predictions(spark, sf_dir)
+    path = f"{scratch.root}/payloads"
+    write_payloads(rows.groupBy("image_id").agg(F.collect_list(F.struct(*fields)).alias("detections")).select(F.to_json(F.struct("detections")).alias("payload")), path)
+    return read_predictions(spark, path, ", ".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in fields), lines=True)
+
+
 @query(f"with {sql_views('refs')} select count(*) as count, max(len(embedding)) as dim from refs")
 def bank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_refs(spark, sf_dir))
@@ -474,10 +546,14 @@ def prompt_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts_from_list(table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), F.lit("").alias("query"), value.alias("text")))
 
 
-@query("select distinct lang as label, source as query, 0 as ord from documents union all select distinct concat(lang, '_2'), lang, 0 from documents")
+@query("""select distinct lang as label, source as query, 0 as ord from documents union all select distinct concat(lang, '_2'), lang, 0 from documents
+union all select distinct concat(lang, '_3'), '[tabby] say "hi"', 0 from documents union all select distinct concat(lang, '_4'), '["a"]', 0 from documents""")
 def prompt_map_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.to_json(F.map_from_arrays(F.array(F.col("lang"), F.concat("lang", F.lit("_2"))), F.array(F.to_json(F.array("source", F.lit(""))), F.col("lang"))))
-    return prompts_from_map(table(spark, sf_dir, "documents").select(pairs.alias("value")))
+    """Strings stay strings, whatever brackets and quotes they have; lists are lists."""
+    plain = F.to_json(F.map_from_arrays(F.array(*[F.concat("lang", F.lit(f"_{i}")) for i in (2, 3, 4)]), F.array(F.col("lang"), F.lit('[tabby] say "hi"'), F.lit('["a"]'))))
+    listed = F.to_json(F.map_from_arrays(F.array("lang"), F.array(F.array("source", F.lit(""), F.col("source")))))
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    return prompts_from_map(docs.select(F.explode(F.array(plain, listed)).alias("value")))
 
 
 @query("select o_orderkey as image_id from orders where o_orderkey not in (select l_orderkey from lineitem)")

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 REFS = """select concat('ref_', vec_id) as id, vec_id, concat('class_', label) as label,
   case when vec_id % 17 = 3 then '' when vec_id % 2 = 0 then 'text' else 'image' end as modality,
-  concat('src', vec_id % 4) as source, embedding from {embeddings} where vec_id % 5 <> 0"""
+  concat('src', vec_id % 4) as source, embedding from {embeddings}"""
 REGIONS = """select vec_id as region_id, cast((vec_id - vec_id % 5) / 5 as bigint) % 20 as image_id,
   cast(vec_id % 7 as double) / 7 as objectness,
   cast((vec_id * 7) % 40 as double) as x1, cast((vec_id * 11) % 40 as double) as y1,
   cast((vec_id * 7) % 40 + 30 + vec_id % 13 as double) as x2,
   cast((vec_id * 11) % 40 + 30 + vec_id % 11 as double) as y2, embedding from {embeddings} where vec_id % 5 = 0"""
-QUERIES = "select vec_id as query_id, concat('class_', label) as query_label, embedding from {embeddings} where vec_id % 50 = 0"
+QUERIES = "select vec_id as query_id, concat('class_', label) as query_label, embedding from {embeddings} where vec_id % 100 = 0"
 BOXES = """select image_id, seq, label, is_gt, x1, y1, x1 + w as x2, y1 + w as y2, w,
   cast((partkey * 31 + suppkey * 17 + seq * 7) % 1000 as double) / 1000 as conf
 from (select l_orderkey as image_id, l_partkey as partkey, l_suppkey as suppkey, l_returnflag as label,

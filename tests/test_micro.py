@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.config import EngineConfig
+from fathomline.config import EngineConfig, Evidence, Retrieval, Suppression
 from fathomline.functions import exprs as E
 from fathomline.operators import boxes as B
 from fathomline.operators import labels as L
@@ -52,7 +52,7 @@ def hits(spark, scores, label="a"):
 
 @pytest.mark.parametrize("method, scores, top_m, want", [("weighted_mean", (0.9, 0.8, 0.1), 5, 0.884112), ("weighted_mean", (0.1, 0.9, 0.8), 2, 0.884113), ("mean", (0.1, 0.9, 0.8), 2, 0.85), ("lse", (0.9, 0.8, 0.1), 5, 1.756187), ("max", (0.1, 0.9), 5, 0.9)])
 def test_aggregation(spark, method, scores, top_m, want):
-    row = S.label_scores(hits(spark, scores), ["k"], EngineConfig(retrieval_agg=method, agg_top_m=top_m)).first()
+    row = S.label_scores(hits(spark, scores), ["k"], EngineConfig(evidence=Evidence(method=method, best=top_m))).first()
     assert row["agg"] == pytest.approx(want, abs=1e-6)
 
 
@@ -64,7 +64,7 @@ def test_spread_and_margin_of_a_single_label(spark):
 
 
 def test_temperature_of_zero_is_the_maximum(spark):
-    assert S.label_scores(hits(spark, (0.9, 0.8)), ["k"], EngineConfig(agg_temperature=0.0)).first()["agg"] == pytest.approx(0.9, abs=1e-6)
+    assert S.label_scores(hits(spark, (0.9, 0.8)), ["k"], EngineConfig(evidence=Evidence(temperature=0.0))).first()["agg"] == pytest.approx(0.9, abs=1e-6)
 
 
 def nms_rows(spark):
@@ -234,6 +234,147 @@ def test_stream(spark, tmp_path):
 
 def test_config():
     with pytest.raises(ValueError):
-        EngineConfig(retrieval_agg="median")
+        Evidence(method="median")
     with pytest.raises(ValueError):
-        EngineConfig(nms_scope="never")
+        Suppression(scope="never")
+    with pytest.raises(ValueError):
+        EngineConfig(Retrieval(top_k=0))
+
+
+def test_null_vectors_have_no_hits_and_mixed_lengths_fail(spark):
+    rows = spark.createDataFrame([("a", "x", "text", [1.0, 0.0]), ("b", "x", "text", None)], "id string, label string, modality string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id int, embedding array<float>")
+    assert [(r["query_id"], r["id"]) for r in K.batch_knn(q, rows, 3).collect()] == [(1, "a")]
+    assert K.batch_knn(q, rows.where("id = 'b'"), 3).count() == 0
+    longer = rows.unionByName(spark.createDataFrame([("c", "x", "text", [1.0, 0.0, 0.0, 0.0])], rows.schema))
+    with pytest.raises(Exception, match="dimensions"):
+        K.batch_knn(q, longer, 3).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        K.batch_knn(spark.createDataFrame([(1, [1.0])], q.schema), rows, 3).collect()
+    with pytest.raises(Exception, match="nulls"):
+        K.batch_knn(q, spark.createDataFrame([("a", "x", "text", [1.0, None])], rows.schema), 3).collect()
+
+
+def test_the_driver_holds_one_block_at_a_time(spark, monkeypatch):
+    from pyspark import Broadcast
+
+    held, most = set(), []
+    whole, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        made = whole(self, value)
+        held.add(id(made))
+        most.append(len(held))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (held.discard(id(self)), destroy(self, blocking))[1])
+    monkeypatch.setattr(K, "MOST_BROADCAST", 16)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert K.batch_knn(q, bank(spark), 4).count() == 4 and len(most) == 4 and max(most) == 1
+
+
+def test_prompts_keep_their_type(spark, tmp_path):
+    given = {"a": '[tabby] "kitten"', "b": ["x", " ", "[y]"], "c": '["z"]', " ": "q"}
+    want = {("a", '[tabby] "kitten"'), ("b", "x"), ("b", "[y]"), ("c", '["z"]')}
+    (tmp_path / "map.json").write_text(json.dumps(given))
+    (tmp_path / "list.json").write_text(json.dumps([{"label": k, "query": "", "text": v} for k, v in given.items()]))
+    for name in ("map", "list"):
+        assert {(r["label"], r["query"]) for r in R.read_prompts(spark, str(tmp_path / f"{name}.json")).collect()} == want
+
+
+def test_ids_are_numbered_across_ranges(spark):
+    rows = spark.range(50).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("own"), "id")).alias("id")).repartition(5)
+    got = {r["n"]: r["id"] for r in Bank.default_ids(rows, 7, "n").collect()}
+    free = [n for n in range(50) if n % 3]
+    assert got == {n: f"own{n}" for n in range(0, 50, 3)} | {n: f"ref_{7 + i}" for i, n in enumerate(free)}
+
+
+def test_curve_of_equal_confidences(spark):
+    rows = spark.range(200).select((F.col("id") % 7).alias("image_id"), F.col("id").alias("seq"), F.lit("a").alias("label"), F.lit(1.0).alias("conf"), (F.col("id") % 2).cast("int").alias("tp"))
+    curve = V.pr_curve(rows, spark.range(120).select(F.lit("a").alias("label"))).orderBy("n").collect()
+    order = sorted(((r["image_id"], r["seq"], r["tp"]) for r in rows.collect()))
+    assert [(r["image_id"], r["seq"], r["tp"]) for r in curve] == order and [r["n"] for r in curve] == list(range(1, 201))
+    assert curve[-1]["tps"] == 100 and all(a["envelope"] >= b["envelope"] for a, b in zip(curve, curve[1:], strict=False))
+
+
+def test_bank_from_a_references_file(spark, tmp_path):
+    from fathomline.functions.encoders import encode_column, hashed_words
+
+    def encode(refs):
+        return encode_column(refs.withColumn("_of", F.coalesce("text", "path")), "_of", hashed_words(8)).drop("_of")
+
+    path = str(tmp_path / "bank")
+    with pytest.raises(FileNotFoundError):
+        Bank.load_indices(spark, path)
+    (tmp_path / "one.json").write_text(json.dumps([{"id": "r1", "label": "cup", "text": "red cup"}, {"id": "r2", "label": "cat", "text": "a cat"}]))
+    Bank.bank_from_file(spark, str(tmp_path / "one.json"), path, encode)
+    text, image = Bank.load_indices(spark, path)
+    assert text.count() == 2 and image is None
+    (tmp_path / "two.json").write_text(json.dumps([{"id": "r2", "label": "cat", "text": "black cat"}, {"label": "dog", "image": "d.png"}]))
+    Bank.bank_from_file(spark, str(tmp_path / "two.json"), path, encode)
+    text, image = Bank.load_indices(spark, path)
+    assert {r["id"]: r["text"] for r in text.collect()} == {"r1": "red cup", "r2": "black cat"} and [r["id"] for r in image.collect()] == ["image_dog"]
+
+
+def png(path, pixels):
+    import struct
+    import zlib
+
+    h, w, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_images_are_decoded_and_cropped(spark, tmp_path):
+    import numpy as np
+
+    from fathomline.functions.images import colour_grid, crops, encode_crops, read_images
+
+    pixels = np.zeros((8, 12, 3), np.uint8)
+    pixels[:, 6:] = (255, 0, 0)
+    png(tmp_path / "a.png", pixels)
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    images = read_images(spark, str(tmp_path))
+    assert [(r["height"], r["width"], r["channels"]) for r in images.collect()] == [(8, 12, 3)]
+    regions = images.select("path", F.explode(F.array(F.lit(0.0), F.lit(6.0), F.lit(100.0))).alias("x1")).selectExpr("path", "x1", "0.0D as y1", "x1 + 6 as x2", "99.0D as y2")
+    got = {r["x1"]: r["embedding"] for r in encode_crops(crops(images, regions), colour_grid(1)).collect()}
+    assert got[0.0] == [0.0, 0.0, 0.0] and got[6.0] == [1.0, 0.0, 0.0] == got[100.0]
+
+
+def test_models_load_once_per_worker_and_call():
+    from fathomline.functions.encoders import loaded
+
+    made = []
+    for call in ("x", "x", "y", "y"):
+        loaded(call, lambda: made.append(1) or len(made))
+    assert len(made) == 2
+
+
+def test_command_line(spark, sf, tmp_path):
+    from fathomline import cli
+
+    assert cli.asked_queries(" a, ,b", ["c,d"]) == ["a", "b", "c,d"] and cli.metadata_filter('{"s": 1}') == {"s": 1} and cli.metadata_filter(None) is None
+    with pytest.raises(ValueError):
+        cli.metadata_filter("[1]")
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "refs.json").write_text(json.dumps([{"label": "cup", "text": "red cup"}, {"label": "cat", "text": "small cat"}]))
+    cli.main(["index", "--references", at("refs.json"), "--bank", at("bank")], spark)
+    from fathomline.functions.encoders import encode_column, hashed_words
+
+    regions = encode_column(spark.createDataFrame([(1, 5, 0.9, 0.0, 0.0, 9.0, 9.0, "red cup"), (2, 5, 0.9, 20.0, 20.0, 30.0, 30.0, "small cat")], "region_id long, image_id long, objectness double, x1 double, y1 double, x2 double, y2 double, of string"), "of", hashed_words())
+    regions.write.parquet(at("regions"))
+    cli.main(["detect", "--bank", at("bank"), "--regions", at("regions"), "--out", at("found"), "--query", "cup"], spark)
+    payload = json.loads(spark.read.text(at("found")).first()[0])
+    assert payload["image"] == 5 and payload["queries"] == ["cup"] and payload["num_detections"] >= 1 and payload["query_images"] == []
+    boxes = spark.createDataFrame([(5, 1, "cup", 0.9, 0.0, 0.0, 9.0, 9.0)], "image_id long, seq int, label string, conf double, x1 double, y1 double, x2 double, y2 double")
+    boxes.write.parquet(at("boxes"))
+    ann = {"images": [{"id": 5, "file_name": "f.jpg", "width": 9, "height": 9}], "categories": [{"id": 1, "name": "cup"}], "annotations": [{"image_id": 5, "category_id": 1, "bbox": [0, 0, 9, 9]}]}
+    (tmp_path / "ann.json").write_text(json.dumps(ann))
+    cli.main(["benchmark", "--annotations", at("ann.json"), "--predictions", at("boxes"), "--out", at("summary")], spark)
+    summary = json.loads(spark.read.text(at("summary")).first()[0])
+    assert summary["num_labels"] == 1 and summary["mean_ar"] == pytest.approx(1.0, abs=1e-6) and summary["metrics"]["cup"]["num_gt"] == 1
+    boxes.withColumnsRenamed({"conf": "confidence"}).withColumn("score", F.lit(0.1)).write.parquet(at("shown"))
+    cli.main(["draw", "--predictions", at("shown"), "--out", at("captions")], spark)
+    assert spark.read.parquet(at("captions")).first()["caption"] == "cup: 0.90"
