@@ -1,61 +1,5 @@
-"""Written tables that cut lineage.
+"""Written tables that cut lineage; see ``fathomline.staging``."""
 
-A table is written as Parquet below the folder that the cluster names in
-``spark.checkpoint.dir`` (shared by driver and executors) and read back, so that a
-lost executor costs a re-read and never a recomputation of the whole plan. Only
-where the session names no folder (tests, a laptop) a temporary one is made.
-"""
+from fathomline.staging import Scratch, checkpoint_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_KEY = "spark.checkpoint.dir"
-_local: dict[str, str] = {}
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one for local masters only."""
-    named = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="fathomline-")
-    return _local[app]
-
-
-class Scratch:
-    """Tables of one operator call, in a folder of their own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{checkpoint_dir(spark)}/fathomline-{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return a frame that reads the written files."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        schema = df.schema
-        df.write.parquet(path)
-        if self._n == 1:  # the whole folder goes when the application ends
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-        out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files behind a frame that ``save`` returned and nobody needs."""
-        path = self._paths.pop(id(df), None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["Scratch", "checkpoint_dir"]

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import hashlib
 import os
 import random
 import re
@@ -10,6 +11,7 @@ from itertools import product
 import numpy as np
 import pytest
 import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ import public_tokenizers as P
 from fathomline.llm import bpe, decontaminate, langid, linededup, ogg, passages, quality, simhash, toxicity, urls
 from fathomline.llm.components import connected_components
 from fathomline.llm.queries import ORACLES, QUERIES
-from fathomline.llm.sample import hash_sample
+from fathomline.llm.sample import fit_in_one_task, hash_sample, labelled_sample
 from fathomline.llm.scratch import Scratch
 
 DATA = os.environ.get("TEST_DATA", "/root/testdata")
@@ -189,6 +191,32 @@ def held_out_accuracy(spark, sf, made, label):
     return got.select(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
 
 
+def test_scores_equal_the_plain_field(spark, sf, docs):
+    """The query's scores and spans, recomputed by a plain forward-backward over each document."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    field = fit_in_one_task(labelled_sample(docs, labels, "toxic", "doc_id", "text", 3, 1, 3000), toxicity.fit_field)
+    got = {r["doc_id"]: r for r in QUERIES["op3_toxicity"](spark, sf).collect()}
+    for r in docs.where("n_chars < 4000 and doc_id % 5 = 0").collect():
+        tokens = list(re.finditer(r"[^\W\d_]+", r["text"] or ""))
+        e = [float(field.weights[toxicity.features(t.group())].sum()) for t in tokens]
+        n = len(e)
+        f, b = np.zeros((n, 2)), np.zeros((n, 2))
+        for t in range(n):
+            own = np.array([0, e[t]])
+            f[t] = own + (field.start if not t else np.logaddexp(f[t - 1, 0] + field.move[0], f[t - 1, 1] + field.move[1]))
+        for t in range(n - 2, -1, -1):
+            after = np.array([0, e[t + 1]]) + b[t + 1]
+            b[t] = np.logaddexp(field.move[:, 0] + after[0], field.move[:, 1] + after[1])
+        p = 1 / (1 + np.exp((f + b)[:, 0] - (f + b)[:, 1]))
+        evidence = np.array([np.log((p**3).sum() + 0.02), p.max(initial=0.0), np.log1p(n), 1.0])
+        want = 1 / (1 + np.exp(-evidence @ field.calibration))
+        row = got[r["doc_id"]]
+        assert abs(row["score"] - want) < 1e-4 and row["predicted"] == (row["score"] >= 0.7)
+        sure = {(t.start(), t.end()) for t, x in zip(tokens, p, strict=True) if x > 0.501}
+        assert all(any(s["start"] <= a and z <= s["end"] for s in row["spans"]) for a, z in sure)
+        assert all(any(s["start"] <= t.start() < s["end"] for t, x in zip(tokens, p, strict=True) if x > 0.499) for s in row["spans"])
+
+
 def test_toxicity_on_held_out_rows(spark):
     from tests.conftest import DATA
 
@@ -250,6 +278,36 @@ def test_chunk_pattern_probe():
     assert not bpe.Encoder(bpe.read_ranks(RANKS), r".+").cuts
 
 
+def test_query_equals_tiktoken(spark, sf, docs, tiktoken_encoding):
+    """The query's digests over the whole table are those of the library."""
+    got = {r["doc_id"]: r for r in QUERIES["op4_byte_bpe"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = tiktoken_encoding.encode_ordinary(r["text"] or "")
+        row = got[r["doc_id"]]
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_tokens_are_emitted_after_bounded_lookahead(monkeypatch, tiktoken_encoding, block):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    machine = bpe.Transducer(bpe.read_ranks(RANKS))
+    rng = random.Random(block)
+    for n in (0, 1, 5, 300, 3000):
+        piece = bytes(rng.choice(b"abcdefgh =-_") for _ in range(n)) + b" " * (n // 3)
+        assert machine.encode(piece) == tiktoken_encoding._encode_single_piece(piece) if piece else machine.encode(piece) == []
+    written, waiting = [], []
+    state, emit = machine.start, machine._emit
+    piece = bytes(rng.choice(b"etaoin shrdlu") for _ in range(5000))
+    for at in range(0, len(piece), block):
+        state = machine._read(state, piece[at : at + block], written)
+        emit(written)
+        waiting.append(len(written))
+    assert max(waiting) <= block + 2 * machine.longest
+
+
 # --- 5 ---
 
 
@@ -331,6 +389,27 @@ def test_payload_round_trip(n):
     assert back == payload and facts["seconds"] == pytest.approx(len(payload) / ogg.RATE)
 
 
+def test_query_equals_brute_force(spark, sf, docs):
+    """Every column of the query over the whole table, computed from the texts without the operator's reader."""
+    got = {r["doc_id"]: r for r in QUERIES["op6_ogg_media"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        row, media = got[r["doc_id"]], ogg.mux(payload)
+        level = np.frombuffer(payload, np.uint8).astype(float)
+        pages = media.count(b"OggS") if b"OggS" not in payload else None
+        assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        facts = dict(x.split("=") for x in row["feature"].split(" "))
+        assert facts["streams"] == "2" and (pages is None or facts["pages"] == str(pages))
+        assert abs(float(facts["mean"]) - level.mean()) < 1e-5 and abs(float(facts["deviation"]) - level.std()) < 1e-5
+        assert int(facts["crossings"]) == sum(a != b for a, b in zip(level >= 128, (level >= 128)[1:], strict=False))
+        assert abs(float(facts["seconds"]) - len(payload) / ogg.RATE) < 1e-5
+
+
 def test_damage_is_seen_and_skipped():
     media = bytearray(ogg.mux(bytes(range(256)) * 400))
     media[len(media) // 2] ^= 1
@@ -624,6 +703,30 @@ def test_recall_of_changed_passages(spark, n, every, share):
     assert len(got & {(1000 + i, i) for i in range(100)}) >= 97 and all(a - 1000 == b for a, b in got)
 
 
+def common(a, b):
+    """Longest common subsequence of two word lists."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_rows_are_passages(docs):
+    """Each row's spans lie in the texts and are as similar as it says, by the quadratic form."""
+    words = {r["doc_id"]: [x for x in (w.strip(passages._EDGE).lower() for w in (r["text"] or "").split()) if x] for r in docs.collect()}
+    found = passages.repeated_passages(docs).collect()
+    assert found
+    for r in found:
+        a, b = words[r["doc_id"]][r["start_word"] : r["end_word"]], words[r["partner"]][r["partner_start"] : r["partner_end"]]
+        assert len(a) == r["end_word"] - r["start_word"] >= 40 and len(b) == r["partner_end"] - r["partner_start"] >= 40
+        assert r["partner"] < r["doc_id"] or r["partner"] == r["doc_id"] and r["partner_end"] <= r["start_word"]
+        assert r["identity"] >= 0.8
+        if len(a) * len(b) < 200_000:
+            assert common(a, b) / max(len(a), len(b)) >= r["identity"] - 1e-9
+
+
 def test_repeats_equal_brute_force(docs):
     k, first, want = 50, {}, set()
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
@@ -645,6 +748,26 @@ def test_quality_on_held_out_rows(spark):
     assert held_out_accuracy(spark, sf, made, "quality") > 0.95
 
 
+def test_scores_equal_the_plain_network(spark, sf, docs):
+    """The query's scores, recomputed word by word from the fitted numbers."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    net = fit_in_one_task(labelled_sample(docs, labels, "quality", "doc_id", "text", 5, 0, 3000), quality.fit_network)
+    got = {r["doc_id"]: r for r in QUERIES["op10_quality"](spark, sf).collect()}
+    for r in docs.where("doc_id % 5 = 0").collect():
+        total, words = np.zeros(quality.DIM), (r["text"] or "").split()
+        seen, last = set(), None
+        for word in words:
+            stem = "".join(c for c in word.lower() if c.isalpha())
+            for feature in (xxhash.xxh64_intdigest(stem) % quality.LEXICAL, quality.LEXICAL + xxhash.xxh64_intdigest(quality.shape(word)) % quality.SHAPES):
+                total += net.vectors[feature]
+            total += net.vectors[quality.AGAIN] * (word == last) + net.vectors[quality.SEEN] * (word in seen and len(stem) > 3)
+            seen.add(word)
+            last = word
+        hidden = np.tanh((total / max(1, len(words)) - net.mean) / net.scale @ net.w1 + net.b1)
+        want = 1 / (1 + np.exp(-(hidden @ net.w2 + net.b2) / net.temperature))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-3 and got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.3)
+
+
 def test_marks_of_repeated_words():
     owner, lexical, shapes, marks = quality.document_features(["Aaaa aaaa aaaa bbbb", "", "x y x"])
     assert marks[:, 0].tolist() == [1, 0, 0] and marks[:, 1].tolist() == [1, 0, 0] and len(owner) == len(lexical) == len(shapes) == 7
