@@ -1,4 +1,4 @@
-"""Makes this package importable in Python workers wherever the driver found it."""
+"""Makes this package importable in Python workers wherever the driver found it, and bounds what they get at once."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a batch to Python, where the session has Spark's default: a batch of whole texts is held several
+#: times on its way, in the JVM and in the worker.
+_BATCH, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once per application."""
+    if spark.conf.get(_BATCH, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH, _ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
