@@ -8,6 +8,7 @@ where the session names no folder (tests, a laptop) a temporary one is made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
+    def settle(self) -> None:
+        """Let the driver collect its garbage: shuffle files of finished steps go now, not when it happens to run short of memory."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files behind a frame that ``save`` returned and nobody needs."""
         path = self._paths.pop(id(df), None)
