@@ -171,6 +171,20 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).select("id", F.transform(E.normalized(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
+@query(f"with {sql_views('refs')}, n as (select *, sqrt(list_dot_product(embedding::double[], embedding::double[])) as size from refs) select id, list_transform(embedding::double[], lambda x: round(case when size < 1e-8 then x else x / size end, 6)) as unit from n")
+def encoder_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoders' normalisation, which leaves vectors of next to no length as they are."""
+    return _refs(spark, sf_dir).select("id", F.transform(E.unit_or_same(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(f"with {sql_views('refs')} select id, round(1 - round(1 - {cos('q.embedding', 'r.embedding')}, 9), 6) as similarity from refs r, (select embedding from embeddings where vec_id = 0) q")
+def distance_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity from the distance that a store reports."""
+    own = F.array(*[F.lit(float(x)) for x in _one_query(spark, sf_dir)])
+    distance = F.round(1 - F.round(E.cosine(F.col("embedding"), own), 9), 9)
+    return _refs(spark, sf_dir).select("id", F.round(E.similarity(distance), 6).alias("similarity"))
+
+
 # --- labels and scores ---
 
 
@@ -192,6 +206,13 @@ def label_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resolve_labels(_hits(spark, sf_dir), view(spark, sf_dir, "queries"), CONFIG)
 
 
+@query(f"with {HITS}, {LABELS} select query_id, label from resolved where query_id % 200 <> 0")
+def blank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank queries are skipped: they stand for no label."""
+    queries = view(spark, sf_dir, "queries").withColumn("query_label", F.when(F.col("query_id") % 200 == 0, "  ").otherwise(F.col("query_label")))
+    return L.resolve_labels(_hits(spark, sf_dir), queries, CONFIG)
+
+
 @query(f"with {HITS}, {LABELS} select query_id, label, round(boost, 6) as boost from boost")
 def query_text_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
