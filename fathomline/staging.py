@@ -71,3 +71,13 @@ class Scratch:
 def in_ranges(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
     """The rows, written, with ``_slice``: ranges of about equal size that rise with ``order``, ties of its first columns included."""
     return scratch.save(rows.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+
+
+def shrink_executors(spark: SparkSession) -> None:
+    """Ask the executors' JVMs to give unused heap back to the system (a full collection), ahead of a step whose Python workers need the memory.
+
+    A JVM otherwise keeps what earlier steps made it take. One short task for each
+    core; nothing is read or kept.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
