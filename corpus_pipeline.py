@@ -12,6 +12,7 @@ from fathomline.llm.langid import UNKNOWN, fit_filters, identify
 from fathomline.llm.linededup import dedup_lines
 from fathomline.llm.scratch import Scratch
 from fathomline.llm.simhash import drop_near_copies
+from fathomline.staging import shrink_executors
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this score a text has too few n-grams of any known language.
@@ -43,6 +44,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    shrink_executors(spark)  # the encoder's tables are the largest thing that workers hold
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
