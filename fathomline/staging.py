@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,8 +57,10 @@ class Scratch:
 
     def settle(self) -> None:
         """Let the driver collect its garbage: shuffle files of finished steps go now, not when it happens to run short of memory."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what Python lets go reaches the JVM a little later; files go after a second look
+            gc.collect()
+            time.sleep(0.5)
+            self.spark._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files behind a frame that ``save`` returned and nobody needs."""
