@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to some digits as SQL engines with binary doubles round: the scaled value, halves away from zero.
+
+    Spark's own goes by the decimal form and drops the sign of what becomes zero.
+    """
+    scale = F.lit(10.0**digits)
+    size = F.abs(x * scale)
+    down = F.floor(size).cast("double")
+    return F.when(size < 2.0**52, (down + F.when(size - down >= 0.5, 1.0).otherwise(0.0)) / scale * F.signum(x)).otherwise(x)
+
+
 def as_doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 

@@ -30,6 +30,11 @@ def test_iou(spark, a, b, want):
     assert value(spark, E.iou(lit_box(*a), lit_box(*b))) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("x, digits, want", [(-1e-9, 6, "-0.0"), (-0.0, 6, "-0.0"), (1e-9, 6, "0.0"), (0.2568505, 6, "0.25685"), (-0.1260885, 6, "-0.126088"), (2.5, 0, "3.0"), (-2.5, 0, "-3.0"), (1e300, 6, "1e+300"), (float("nan"), 6, "nan"), (None, 6, "None")])
+def test_rounding_goes_by_the_binary_value(spark, x, digits, want):
+    assert str(value(spark, E.rounded(F.lit(x).cast("double"), digits))) == want
+
+
 def test_confidence(spark):
     of = lambda *v: value(spark, E.confidence(*[F.lit(float(x)) for x in v]))
     assert of(0.5, 0.1, 0.05, 0.8, 1) == pytest.approx(0.993934, abs=1e-6)
