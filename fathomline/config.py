@@ -19,7 +19,8 @@ class Retrieval:
     """What regions and queries are compared with."""
 
     top_k: int = 20
-    most_proposals: int = 180
+    #: Regions of an image that are looked at, in the order of their ids; None looks at all.
+    most_proposals: int | None = 180
     #: Regions see the candidates of their own query only, not the whole bank.
     own_candidates_only: bool = False
 

@@ -45,6 +45,11 @@ class Engine:
         """Rows that several parts of a plan read, written once below the checkpoint folder."""
         return self.scratch.save(rows)
 
+    def _shown(self, regions: DataFrame) -> DataFrame:
+        """The regions that are looked at: the first of each image, or all."""
+        most = self.config.retrieval.most_proposals
+        return regions if most is None else cap_proposals(regions.withColumn("_seq", F.col("region_id")), most, order="_seq").drop("_seq")
+
     def _detections(self, hits: DataFrame, regions: DataFrame, boost: DataFrame, keys: list[str], boost_on: list[str]) -> DataFrame:
         """Hits of regions to boxes with their best label; not yet suppressed."""
         scores = add_boost(label_scores(hits, keys, self.config), boost, boost_on, self.config)
@@ -69,9 +74,10 @@ class Engine:
         hits = self._staged(batch_knn(own, bank, c.retrieval.top_k))
         labels = self._staged(resolve_labels(hits, own, c))
         boost = query_boost(hits, labels)
-        shown = cap_proposals(regions.withColumn("_seq", F.col("region_id")), c.retrieval.most_proposals, order="_seq").drop("_seq")
+        shown = self._shown(regions)
         if c.retrieval.own_candidates_only:
-            candidates = hits.select("query_id", "id").distinct()
+            # Other labels' candidates are no evidence; their pairs need not be made.
+            candidates = self._staged(hits.join(labels, ["query_id", "label"]).select("query_id", "id").distinct())
             listed = bank.join(candidates.select("id").distinct(), "id", "left_semi")
             region_hits = batch_knn(shown, listed, None, "region_id").join(candidates, "id")
         else:
@@ -84,7 +90,7 @@ class Engine:
         c = self.config
         bank = select_candidates(self.bank, "image", metadata)
         boost = self._staged(image_boost(batch_knn(query_images, bank, c.retrieval.top_k), query_image_agg))
-        shown = cap_proposals(regions.withColumn("_seq", F.col("region_id")), c.retrieval.most_proposals, order="_seq").drop("_seq")
+        shown = self._shown(regions)
         hits = self._staged(batch_knn(shown, bank, c.retrieval.top_k, "region_id").join(boost.select("label"), "label", "left_semi"))
         return self._suppressed(self._detections(hits, shown, boost, ["region_id"], ["label"]), [])
 
