@@ -688,6 +688,18 @@ def test_passages_that_repeat_a_phrase(spark, period, n):
     assert found_passages(spark, {1: text(50) + run + text(50), 2: text(70) + run + text(20)}) == [(2, 1, 70, 70 + n)]
 
 
+def test_changed_passages_whose_seeds_are_first_met_elsewhere(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    own, docs = text(60), {}
+    for i in range(56):  # each run of five words stands alone in an unrelated document, a few of them in several
+        docs |= {i * 3 + j: text(20) + own[i : i + 5] + text(20) for j in range(1 + i % 3)}
+    docs[1000] = text(30) + own + text(30)
+    docs[1001] = text(40) + [rng.choice(words) if j % 10 == 9 else x for j, x in enumerate(own)] + text(20)
+    assert [(d, p) for d, p, _, _ in found_passages(spark, docs)] == [(1001, 1000)]
+
+
 @pytest.mark.parametrize("n, every, share", [(60, 6, None), (120, 6, None), (60, None, 0.1), (60, None, 0.15), (120, None, 0.15)])
 def test_recall_of_changed_passages(spark, n, every, share):
     rng = random.Random(n)
