@@ -1,8 +1,12 @@
 """Awkward tables for every operator: nulls, empty and very long texts, ties, repeats, clashing names, no rows."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from fathomline.llm import passages
 from fathomline.llm.bpe import decode_documents, encode_documents, round_trip
 from fathomline.llm.decontaminate import decontaminate, drop_contaminated
 from fathomline.llm.langid import predict_languages
@@ -140,3 +144,29 @@ def test_ids_decode_to_the_text(spark):
     got = decode_documents(encode_documents(docs, RANKS, PATTERN).withColumn("more", F.lit(1)), RANKS).collect()
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in got) == sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
     assert {r["more"] for r in got} == {1}
+
+
+def test_words_are_told_apart_as_one_by_one():
+    texts = [f"{c}A{c}b{c} x{c} {c}" for c in map(chr, range(0x3100)) if not c.isalnum() or not c.isascii()] + ["", " ", "...", "İSTANBUL ΣΑΣ ΟΔΟΣ.", "«Word,» word WORD"]
+    got, starts = passages.word_hashes(texts)
+    words = [[w for w in (x.strip(passages._EDGE).lower() for x in t.split()) if w] for t in texts]
+    assert np.diff(starts).tolist() == [len(x) for x in words]
+    assert got.tolist() == [xxhash.xxh64_intdigest(w) % 0xFFFFFF + 1 for x in words for w in x]
+
+
+def test_chains_of_chance_seeds_are_judged_together(monkeypatch):
+    """One seed of five words in unrelated texts, a thousand times, and two passages among them."""
+    random, rows = np.random.default_rng(3), []
+    for doc in range(1000, 2000):
+        a, b = random.integers(1, 1 << 24, (2, passages.BLOCK_WORDS))
+        size = 60 if doc in (1200, 1999) else 5
+        b[20 : 20 + size] = a[30 : 30 + size]
+        rows += [(doc, 1, 0, -1, -1, None, [30, 35, 20]), (doc, 1, 0, 1, 0, passages.packed(b), None), (doc, 1, 0, 0, 0, passages.packed(a), None)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    names = ["doc", "partner", "nth", "side", "block", "words", "path"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 700], strict=True), kinds, strict=True)], names=names) for i in range(0, len(rows), 700)]
+    calls, unpacked = [], passages.unpacked
+    monkeypatch.setattr(passages, "unpacked", lambda data: calls.append(1) or unpacked(data))
+    got = [r for b in passages._align_pairs(40, 0.8)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["doc"], r["partner"], r["start_word"], r["partner_start"], r["identity"]) for r in got] == [(1200, 1, 30, 20, 1.0), (1999, 1, 30, 20, 1.0)]
+    assert len(calls) < 10
