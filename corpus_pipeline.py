@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.llm.arrow import shrink_workers
 from fathomline.llm.bpe import round_trip
 from fathomline.llm.decontaminate import drop_contaminated
 from fathomline.llm.langid import UNKNOWN, fit_filters, identify
@@ -44,11 +48,25 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
-    shrink_executors(spark)  # the encoder's tables are the largest thing that workers hold
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("leaks", leaks), ("token_ids", token_ids)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def afresh(stage: Stage) -> Stage:
+    """The stage, begun after executors and their Python workers have given back what earlier ones made them take."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink_workers(spark)
+        shrink_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+STAGES = [(stage.__name__, afresh(stage)) for stage in (language, lines, near_copies, leaks, token_ids)]
 
 #: SQL can express neither the trained filters nor the encoding; tests compare with brute force.
 ORACLE_SQL = None

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.arrow import only_tables_of, text_chunks
+from fathomline.llm.arrow import give_back, only_tables_of, text_chunks
 from fathomline.llm.scratch import Scratch
 from fathomline.llm.sieve import row_key, sift
 from fathomline.shipping import ship
@@ -126,6 +126,7 @@ def _places(k: int, w: int, long_words: int | None):
             owner = pa.array(owner)
             arrays = [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x) for x in (kind, fp, at, chosen)), around(whole[index, 1].view(np.int64)), around(whole[index, 0].view(np.int64)), around(number[index].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "kind", "fp", "p", "chosen", "low", "high", "at"])
+        give_back()
 
     return run
 

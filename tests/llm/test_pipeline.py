@@ -4,9 +4,10 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 
 import corpus_pipeline
-from fathomline.llm import bpe, decontaminate, simhash
+from fathomline.llm import arrow, bpe, decontaminate, simhash
 from fathomline.llm.scratch import Scratch
 from tests.llm.test_operators import RANKS, brute_components, brute_lines
 
@@ -50,3 +51,31 @@ def test_stages(spark, sf):
 def test_run_equals_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 100 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"} == set(got.columns)
+
+
+def test_every_stage_begins_afresh(spark, sf, monkeypatch):
+    """What earlier stages made executors and workers take would stay beside what the stage needs."""
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "shrink_executors", lambda _: asked.append("executors"))
+    monkeypatch.setattr(corpus_pipeline, "shrink_workers", lambda _: asked.append("workers"), raising=False)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        asked.clear()
+        stage(spark, docs, sf)
+        assert sorted(asked) == ["executors", "workers"]
+
+
+def test_workers_empty_their_tables(spark):
+    def fill(batches):
+        arrow.worker_table("test", {1: bytes(1000)})
+        yield from batches
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(arrow._tables.get("test", {}))] * batch.num_rows)], names=["id"])
+
+    n = spark.sparkContext.defaultParallelism
+    arrow.shrink_workers(spark)
+    spark.range(0, 4 * n, 1, 4 * n).mapInArrow(fill, "id long").count()
+    arrow.shrink_workers(spark)
+    assert {r["id"] for r in spark.range(0, 4 * n, 1, 4 * n).mapInArrow(left, "id long").collect()} == {0}
